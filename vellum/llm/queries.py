@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import substring_dedup
+from vellum.llm import simhash, substring_dedup
 
 QUERIES = {
+    "op4_simhash": simhash.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 
