@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from vellum.llm import simhash, substring_dedup
+from vellum.llm import decontaminate, simhash, substring_dedup
 
 QUERIES = {
     "op4_simhash": simhash.query,
+    "op8_decontamination": decontaminate.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 
 ORACLES = {
+    "op8_decontamination": decontaminate.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }
