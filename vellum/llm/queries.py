@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, simhash, substring_dedup
+from vellum.llm import decontaminate, packing, simhash, substring_dedup
 
 QUERIES = {
+    "op2_best_fit_packing": packing.query,
     "op4_simhash": simhash.query,
     "op8_decontamination": decontaminate.query,
     "op10_substring_dedup": substring_dedup.query,
