@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, packing, sharding, simhash, substring_dedup
+from vellum.llm import decontaminate, packing, quality_rules, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op2_best_fit_packing": packing.query,
     "op3_sharding": sharding.query,
     "op4_simhash": simhash.query,
+    "op6_quality_rules": quality_rules.query,
     "op8_decontamination": decontaminate.query,
     "op10_substring_dedup": substring_dedup.query,
 }
