@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, packing, quality_rules, sharding, simhash, substring_dedup
+from vellum.llm import decontaminate, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op2_best_fit_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.query,
     "op6_quality_rules": quality_rules.query,
     "op8_decontamination": decontaminate.query,
+    "op9_quality_classifier": quality_classifier.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 
