@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, warc
+from vellum.llm import decontaminate, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.query,
     "op3_sharding": sharding.query,
     "op4_simhash": simhash.query,
+    "op5_url_filter": url_filter.query,
     "op6_quality_rules": quality_rules.query,
     "op7_warc": warc.query,
     "op8_decontamination": decontaminate.query,
