@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from vellum.llm import decontaminate, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, url_filter, warc
+from vellum.llm import (
+    decontaminate,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    substring_dedup,
+    url_filter,
+    warc,
+)
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_best_fit_packing": packing.query,
     "op3_sharding": sharding.query,
     "op4_simhash": simhash.query,
@@ -17,6 +29,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
     "op8_decontamination": decontaminate.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
