@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.llm import kernels as K
 from vellum.llm import store
@@ -108,7 +109,7 @@ _SPANS = "array<struct<start:int,end:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _search(index, only_hits: bool):
+def _search(index, only_hits: bool, passed: tuple[str, ...]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = index.value
         for batch in batches:
@@ -125,8 +126,8 @@ def _search(index, only_hits: bool):
                     spans.append([{"start": int(s), "end": int(e)} for s, e in zip(start, end, strict=True)])
                     item_ids.append(sorted(own))
             out = pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), _longs(n_words), _longs(n_hit), pa.array(spans, _SPAN_TYPE), pa.array(item_ids, pa.list_(pa.string()))],
-                ["doc_id", "key", "n_words", "n_hit", "spans", "item_ids"],
+                [*(batch.column(c) for c in passed), _longs(n_words), _longs(n_hit), pa.array(spans, _SPAN_TYPE), pa.array(item_ids, pa.list_(pa.string()))],
+                [*passed, "n_words", "n_hit", "spans", "item_ids"],
             )
             if only_hits:
                 out = out.filter(pa.array([bool(x) for x in item_ids], pa.bool_()))
@@ -139,11 +140,9 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.int64())
 
 
-_SCHEMA = f"doc_id long, key long, n_words long, n_hit long, spans {_SPANS}, item_ids array<string>"
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, key, n_words, n_hit, spans (hit ranges of words), item_ids (sorted) and contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, with_row: bool = False) -> DataFrame:
+    """One row per document: doc_id, key, `row` (a struct of all columns, if `with_row`), n_words, n_hit, spans (hit
+    ranges of words), item_ids (sorted) and contaminated.
 
     A-Z are lower-cased; words are runs of digits, letters a to z and characters outside ASCII.  A document word is
     hit if it lies in an occurrence of a window.  A null text has no words and an item without words no window; an
@@ -153,16 +152,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """
     spark = docs.sparkSession
     store.prepare(spark)
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id")).withColumn("key", F.xxhash64("doc_id", "text"))
+    whole = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if with_row else []
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"), *whole).withColumn("key", F.xxhash64("doc_id", "text"))
+    passed = tuple(c for c in rows.columns if c != "text")
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
 
+    schema = T.StructType([rows.schema[c] for c in passed])
+    span = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())
+    for name, kind in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("spans", T.ArrayType(span)), ("item_ids", T.ArrayType(T.StringType()))):
+        schema = schema.add(name, kind)
+
     def found(number: int) -> DataFrame:
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
         got = own.toArrow()
         index = spark.sparkContext.broadcast(Index(got["item_id"].to_pylist(), got["text"].to_pylist(), window))
-        return rows.mapInArrow(_search(index, blocks > 1), _SCHEMA)
+        return rows.mapInArrow(_search(index, blocks > 1, passed), schema)
 
     if blocks == 1:
         out = found(0)
@@ -179,9 +185,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             .select("key", "item_ids", F.size("w").cast("long").alias("n_hit"), _ranges(F.col("w")).alias("spans"))
         )
         none = spark.sparkContext.broadcast(Index([], [], window))
-        base = rows.mapInArrow(_search(none, False), _SCHEMA).select("doc_id", "key", "n_words")
+        base = rows.mapInArrow(_search(none, False, passed), schema).select(*passed, "n_words")
         out = base.join(store.keep(merged, "merged"), "key", "left").select(
-            "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
+            *passed, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
         )
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 

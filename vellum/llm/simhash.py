@@ -230,5 +230,21 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
+def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of `docs`, all columns as they are, with one row left of each group of near duplicates.
+
+    Rows are told apart by a hash of id and text, so null ids are no group; of equal rows one stays, of a group the
+    one with the least hash.
+    """
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
+    keys = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
+    found = store.keep(near_duplicates(keys, text="text", doc_id="key", **how).select("doc_id", "component_id"), "near")
+    stay = store.keep(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("stay")).agg(F.count("*").alias("n")), "stay")
+    kept = rows.join(stay, rows.key == stay.stay, "left_semi")
+    if not stay.where("n > 1").isEmpty():
+        kept = kept.groupBy("key").agg(F.first("row").alias("row"))
+    return kept.select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(store.read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
