@@ -14,6 +14,8 @@ from vellum.functions import text as X
 from vellum.operators import relational as R
 from vellum.plans import chunking as C
 from vellum.plans import extract_text as ET
+from vellum.schema import DOCUMENT, PARAGRAPH, SLIDE
+from vellum.sources import documents as D
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -425,3 +427,269 @@ def format_table(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", cells.alias("cells"))
     rows = nations.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "cells"))), lambda s: F.struct(s["cells"].alias("cells"))).alias("rows"))
     return rows.join(table(spark, sf_dir, "region").select("r_regionkey"), "r_regionkey").select("r_regionkey", X.format_table(F.struct("rows")).alias("text"))
+
+
+# -- Markdown -----------------------------------------------------------------------------------------------------
+
+_MD = """(SELECT o_orderkey AS id, '# Order ' || o_orderkey || chr(10) || chr(10) || 'status **' || o_orderstatus || '** end' || chr(10) || chr(10) || '- by ' || o_custkey || chr(10) || '  2) in ' || o_orderpriority
+  || chr(10) || chr(10) || '| key | value |' || chr(10) || '|---|:---|' || chr(10) || '| ' || o_orderkey || ' | ' || o_custkey || ' |' || chr(10) || chr(10) || '```sql' || chr(10) || 'select ' || o_custkey || chr(10) || '```' || chr(10) || '![img](a/p' || o_custkey || '.png)' AS md FROM orders)"""
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.concat
+    text = c(
+        F.lit("# Order "), "o_orderkey", F.lit("\n\nstatus **"), "o_orderstatus", F.lit("** end\n\n- by "), "o_custkey", F.lit("\n  2) in "), "o_orderpriority", F.lit("\n\n| key | value |\n|---|:---|\n| "),
+        "o_orderkey", F.lit(" | "), "o_custkey", F.lit(" |\n\n```sql\nselect "), "o_custkey", F.lit("\n```\n![img](a/p"), "o_custkey", F.lit(".png)"),
+    )
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.encode(text, "UTF-8").alias("content"), F.lit("md").alias("extension"))
+    return rows.repartition(max(2, spark.sparkContext.defaultParallelism))
+
+
+def _extracted(spark: SparkSession, sf_dir: str, profile: str = "chunks") -> DataFrame:
+    return D.extract(_markdown(spark, sf_dir), profile=profile).select("id", "doc")
+
+
+@query("md_paragraphs", f"""SELECT id, unnest([0, 1, 2, 3, 4, 5]) AS index,
+  unnest(['Order ' || id, regexp_extract(md, '(status .* end)', 1), regexp_extract(md, '- (by [0-9]+)', 1), regexp_extract(md, '(in [^' || chr(10) || ']+)', 1), regexp_extract(md, '(select [0-9]+)', 1), regexp_extract(md, '(!\\[img.*)$', 1)]) AS text,
+  unnest(['Heading 1', NULL, NULL, NULL, 'CodeBlock', NULL]) AS style, unnest([NULL, NULL, 'bullet', '2)', NULL, NULL]) AS numbering_format, unnest([NULL, NULL, 0, 1, NULL, NULL]) AS indent_level FROM {_MD}""")
+def md_paragraphs(spark, sf_dir):
+    rows = _extracted(spark, sf_dir).select("id", F.explode("doc.paragraphs").alias("p"))
+    return rows.select("id", "p.index", "p.text", "p.style", "p.numbering_format", "p.list_info.indent_level")
+
+
+@query("md_tables", "SELECT o_orderkey AS id, unnest([0, 0, 1, 1]) AS row_index, unnest([0, 1, 0, 1]) AS cell_index, unnest(['key', 'value', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)]) AS text FROM orders")
+def md_tables(spark, sf_dir):
+    rows = _extracted(spark, sf_dir).select("id", F.explode(F.get("doc.tables", F.lit(0))["rows"]).alias("r")).select("id", "r.row_index", F.explode("r.cells").alias("c"))
+    return rows.select("id", "row_index", "c.cell_index", "c.text")
+
+
+@query("md_runs", "SELECT o_orderkey AS id, unnest(['status ', o_orderstatus, ' end']) AS text, unnest([NULL, true, NULL]) AS bold, unnest([0, 1, 2]) AS index FROM orders")
+def md_runs(spark, sf_dir):
+    runs = F.get("doc.paragraphs", F.lit(1))["runs"]
+    return _extracted(spark, sf_dir).select("id", F.explode(runs).alias("r")).select("id", "r.text", "r.bold", "r.index")
+
+
+@query("md_images", "SELECT o_orderkey AS id, 'md_p_5_img_0' AS relationship_id, 'p' || o_custkey || '.png' AS file_name, 'img' AS alt_text FROM orders")
+def md_images(spark, sf_dir):
+    return _extracted(spark, sf_dir).select("id", F.explode("doc.media").alias("m")).select("id", "m.relationship_id", "m.file_name", "m.alt_text")
+
+
+@query("md_chunks", """SELECT o_orderkey AS id, 'Order ' || o_orderkey || chr(10) || 'status ' || o_orderstatus || ' end' || chr(10) || '- by ' || o_custkey || chr(10) || '2) in ' || o_orderpriority || chr(10) || 'Table:' || chr(10) || 'key | value' || chr(10)
+  || o_orderkey || ' | ' || o_custkey || chr(10) || 'select ' || o_custkey || chr(10) || 'img' AS text FROM orders""")
+def md_chunks(spark, sf_dir):
+    return D.chunk(_extracted(spark, sf_dir, "chunking"), "chunking").select("id", F.explode("chunks").alias("text"))
+
+
+# -- HTML pages ---------------------------------------------------------------------------------------------------
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit("html").alias("extension"))
+    return D.extract(rows).select("page_id", "doc")
+
+
+_ENTITIES = "replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query("html_headings", f"SELECT page_id, trim(regexp_replace({_ENTITIES.format('h')}, '\\s+', ' ', 'g')) AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1[^>]*>([^<]*)</h1>', 1)) AS h FROM pages) WHERE trim(h) <> ''")
+def html_headings(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.explode("doc.paragraphs").alias("p")).where("p.style = 'Heading 1'").select("page_id", "p.text")
+
+
+@query("html_list_items", f"SELECT page_id, trim(regexp_replace({_ENTITIES.format('h')}, '\\s+', ' ', 'g')) AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a></li>', 1)) AS h FROM pages)")
+def html_list_items(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.explode("doc.paragraphs").alias("p")).where("p.is_bullet").select("page_id", "p.text")
+
+
+@query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def html_links(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.explode("doc.paragraphs").alias("p")).where("p.is_bullet").select("page_id", F.explode("p.runs").alias("r")).select("page_id", F.col("r.hyperlink_url").alias("href"))
+
+
+@query("html_metadata", f"SELECT page_id, trim({_ENTITIES.format(chr(39) + chr(39) + ' || t')}) AS title, 'DOCTYPE html' AS doctype FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)")
+def html_metadata(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", F.col("doc.metadata")["title"].alias("title"), F.col("doc.metadata")["doctype"].alias("doctype"))
+
+
+@query("html_full_extract")
+def html_full_extract(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", F.explode("doc.paragraphs").alias("p"))
+    return rows.select("page_id", "p.index", "p.text", "p.style", "p.is_bullet", "p.list_level")
+
+
+@query("html_chunks")
+def html_chunks(spark, sf_dir):
+    return D.chunk(_pages(spark, sf_dir)).select("page_id", F.posexplode("chunks").alias("chunk_index", "text"))
+
+
+# -- edits --------------------------------------------------------------------------------------------------------
+
+def _edited(spark: SparkSession, sf_dir: str, steps: list[dict]) -> DataFrame:
+    return D.edit(_extracted(spark, sf_dir), steps, doc_id="id")
+
+
+def _paragraph_texts(df: DataFrame) -> DataFrame:
+    return df.select("id", F.posexplode(F.transform("doc.paragraphs", lambda p: p["text"])).alias("index", "text"))
+
+
+_PLAIN = "['Order ' || o_orderkey, 'status ' || o_orderstatus || ' end', 'by ' || o_custkey, 'in ' || o_orderpriority, 'select ' || o_custkey, '![img](a/p' || o_custkey || '.png)']"
+
+
+def _list_sql(texts: str) -> str:
+    return f"SELECT id, CAST(unnest(range(0, len(t))) AS INT) AS index, unnest(t) AS text FROM (SELECT o_orderkey AS id, {texts} AS t FROM orders)"
+
+
+@query("edit_normalise", _list_sql(_PLAIN))
+def edit_normalise(spark, sf_dir):
+    """Any edit gives paragraphs the text of their runs."""
+    return _paragraph_texts(_edited(spark, sf_dir, [{"op": "replace", "path": "/paragraphs/0/alignment", "value": None}]))
+
+
+@query("edit_replace_text", _list_sql(_PLAIN.replace("'Order ' ||", "'Bestellung ' ||").replace("' end'", "' eNd'")))
+def edit_replace_text(spark, sf_dir):
+    steps = [{"op": "replace_text", "path": "/paragraphs/0/text", "old_value": "Order", "new_value": "Bestellung"}, {"op": "replace_text", "path": "/paragraphs/1/runs/2/text", "old_value": "n", "new_value": "N", "count": 1}]
+    return _paragraph_texts(_edited(spark, sf_dir, steps))
+
+
+@query("edit_insert_remove", _list_sql("['Order ' || o_orderkey, 'new', 'by ' || o_custkey, 'in ' || o_orderpriority, 'select ' || o_custkey]"))
+def edit_insert_remove(spark, sf_dir):
+    steps = [{"op": "insert_paragraph_after", "index": 0, "value": "new"}, {"op": "insert_paragraph_after", "index": 1, "value": " "}, {"op": "remove_paragraph", "index": 3}, {"op": "remove_empty_paragraphs"}, {"op": "remove", "path": "/paragraphs/5"}]
+    return _paragraph_texts(_edited(spark, sf_dir, steps)).where("index < 5")
+
+
+@query("edit_table", "SELECT o_orderkey AS id, unnest([0, 0, 0, 1, 1, 1, 2, 2, 2]) AS row_index, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2]) AS cell_index, unnest(['key', 'a', 'value', 'mid', 'b', '', CAST(o_orderkey AS VARCHAR), 'c', CAST(o_custkey AS VARCHAR)]) AS text FROM orders")
+def edit_table(spark, sf_dir):
+    steps = [{"op": "insert_table_row", "path": "/tables/0", "index": 0, "value": "mid"}, {"op": "insert_table_column", "path": "/tables/0", "index": 0, "value": ["a", "b", "c"]}, {"op": "insert_table_column", "path": "/tables/0", "index": 2, "value": "x"}, {"op": "remove_table_column", "path": "/tables/0", "index": 3}]
+    rows = _edited(spark, sf_dir, steps).select("id", F.explode(F.get("doc.tables", F.lit(0))["rows"]).alias("r")).select("id", "r.row_index", F.posexplode("r.cells").alias("cell_index", "c"))
+    return rows.select("id", "row_index", "cell_index", F.col("c.text").alias("text"))
+
+
+@query("edit_atomic", "SELECT o_orderkey AS id, 0 AS applied_instructions, 6 AS paragraphs, 'instruction 1: no item has index 99' AS error FROM orders")
+def edit_atomic(spark, sf_dir):
+    """One failing instruction leaves the document as it was."""
+    out = _edited(spark, sf_dir, [{"op": "remove_paragraph", "index": 0}, {"op": "remove_table", "index": 99}])
+    return out.select("id", "applied_instructions", F.size("doc.paragraphs").alias("paragraphs"), "error")
+
+
+@query("edit_by_document", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS applied_instructions, CASE WHEN o_orderkey % 2 = 0 THEN 'cust ' || o_custkey ELSE 'Order ' || o_orderkey END AS text FROM orders")
+def edit_by_document(spark, sf_dir):
+    """Every document has its own instructions, in order."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    first = orders.select(F.col("o_orderkey").alias("id"), F.lit(0).alias("seq"), F.lit("replace").alias("op"), F.lit("/paragraphs/0/text").alias("path"), F.lit('"x"').alias("value"), F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"))
+    second = first.drop("new_value", "value").join(orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("cust "), "o_custkey").alias("new_value")), "id").withColumns({"seq": F.lit(1), "op": F.lit("replace_text"), "old_value": F.lit("x"), "value": F.lit(None).cast("string")})
+    out = D.edit(_extracted(spark, sf_dir), first.unionByName(second), doc_id="id")
+    return out.select("id", "applied_instructions", F.get("doc.paragraphs", F.lit(0))["text"].alias("text"))
+
+
+def _decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deck for each order with a slide for each line; its title is a heading, and every third has notes."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.row_number().over(w) - 1).alias("n"), "l_partkey", "l_suppkey")
+    decks = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("n", "l_partkey", "l_suppkey"))).alias("x"))
+    part = lambda s: F.concat(F.lit("part "), s["l_partkey"])
+    paragraphs = F.flatten(F.transform("x", lambda s: F.array(ET.make(PARAGRAPH, index=s["n"] * 2, text=part(s), style=F.lit("Heading 1")), ET.make(PARAGRAPH, index=s["n"] * 2 + 1, text=F.concat(F.lit("supplier "), s["l_suppkey"])))))
+    slides = F.transform("x", lambda s: ET.make(SLIDE, index=s["n"], slide_number=s["n"] + 1, title=part(s), notes_text=F.when(s["n"] % 3 == 0, F.lit("check")), paragraph_indices=F.array(s["n"] * 2, s["n"] * 2 + 1)))
+    empty = {c: F.array() for c in ("tables", "media", "styles", "document_order", "parts")}
+    given = {**empty, "source_type": F.lit("pptx"), "paragraphs": paragraphs, "slides": slides}
+    return decks.select("id", ET.make(DOCUMENT, **given).alias("doc"))
+
+
+_LINES = "(SELECT l_orderkey AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS n, l_partkey, l_suppkey, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS c FROM lineitem)"
+
+
+@query("slide_chunks", f"SELECT id, n AS chunk_index, 'supplier ' || l_suppkey || CASE WHEN n % 3 = 0 THEN chr(10) || 'Notes: check' ELSE '' END AS text FROM {_LINES}")
+def slide_chunks(spark, sf_dir):
+    return D.chunk(_decks(spark, sf_dir), "chunks").select("id", F.posexplode("chunks").alias("chunk_index", "text"))
+
+
+@query("slide_chunks_merged", f"SELECT id, string_agg('supplier ' || l_suppkey || CASE WHEN n % 3 = 0 THEN chr(10) || 'Notes: check' ELSE '' END, chr(10) ORDER BY n) AS text FROM {_LINES} GROUP BY id")
+def slide_chunks_merged(spark, sf_dir):
+    return D.chunk(_decks(spark, sf_dir), "chunking").select("id", F.explode("chunks").alias("text"))
+
+
+@query("edit_slides", f"""WITH l AS (SELECT * FROM {_LINES} WHERE c >= 3), s AS (
+  SELECT id, CASE WHEN n = 0 THEN c ELSE n - 1 END AS pos, n AS index, 'part ' || l_partkey AS title, CASE WHEN n % 3 = 0 THEN 'check' END AS notes, 2 AS items FROM l WHERE n <> 1
+  UNION ALL SELECT id, CASE n WHEN 0 THEN c ELSE 0 END, c, 'copy', 'check', 2 FROM l WHERE n = 0)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos, index) - 1 AS INT) AS pos, index, title, notes, items FROM s""")
+def edit_slides(spark, sf_dir):
+    """Duplicate the first slide to the end, remove the second, move the first to before the copy's end."""
+    decks = _decks(spark, sf_dir).where(F.size("doc.slides") >= 3)
+    steps = [{"op": "duplicate_slide", "index": 0, "value": {"title": "copy"}}, {"op": "remove_slide", "index": 1}, {"op": "move_slide", "index": 0, "target_index": 9999}]
+    out = D.edit(decks, steps, doc_id="id").select("id", F.posexplode("doc.slides").alias("pos", "s"))
+    swapped = out.withColumn("last", F.max("pos").over(Window.partitionBy("id")))
+    # The copy and the moved slide stand last; both orders of the two are compared by index.
+    pos = F.when(F.col("pos") == F.col("last"), F.col("pos") - 1).when(F.col("pos") == F.col("last") - 1, F.col("pos") + 1).otherwise(F.col("pos"))
+    return swapped.select("id", pos.alias("pos"), "s.index", "s.title", F.col("s.notes_text").alias("notes"), F.size("s.paragraph_indices").alias("items"))
+
+
+@query("slide_index_arrays", f"SELECT id, n AS index, CAST(n * 2 AS INT) AS first_item, 2 AS items, 2 AS shape_count FROM {_LINES}")
+def slide_index_arrays(spark, sf_dir):
+    out = D.edit(_decks(spark, sf_dir), [{"op": "replace_slide_notes", "index": 0, "value": "n"}], doc_id="id").select("id", F.explode("doc.slides").alias("s"))
+    return out.select("id", "s.index", F.get("s.paragraph_indices", F.lit(0)).alias("first_item"), F.size("s.paragraph_indices").alias("items"), "s.shape_count")
+
+
+@query("edit_bulk_replace", f"SELECT id, n AS index, 'vendor ' || l_suppkey AS text, CASE WHEN n = 0 THEN true END AS bold FROM {_LINES}")
+def edit_bulk_replace(spark, sf_dir):
+    steps = [{"op": "bulk_replace_text", "value": [{"old_value": "supplier", "new_value": "seller"}, {"old_value": "seller", "new_value": "vendor"}]}, {"op": "set_run_formatting", "index": 1, "value": {"bold": True, "nonsense": 1}}]
+    out = D.edit(_decks(spark, sf_dir), steps, doc_id="id").select("id", F.explode("doc.paragraphs").alias("p")).where("p.index % 2 = 1")
+    return out.select("id", F.expr("cast((p.index - 1) div 2 as int)").alias("index"), "p.text", F.get("p.runs", F.lit(0))["bold"].alias("bold"))
+
+
+# -- generation and round trips -----------------------------------------------------------------------------------
+
+def _generated(df: DataFrame, form: str) -> DataFrame:
+    return D.generate(df, form).select("id", F.decode("content", "UTF-8").alias("text"))
+
+
+@query("gen_text", "SELECT o_orderkey AS id, 'Order ' || o_orderkey || chr(10) || chr(10) || 'status **' || o_orderstatus || '** end' || chr(10) || chr(10) || '- by ' || o_custkey || chr(10) || chr(10) || '2) in ' || o_orderpriority || chr(10) || chr(10) || 'key | value' || chr(10) || o_orderkey || ' | ' || o_custkey || chr(10) || chr(10) || 'select ' || o_custkey || chr(10) || chr(10) || '![img](a/p' || o_custkey || '.png)' || chr(10) AS text FROM orders")
+def gen_text(spark, sf_dir):
+    return _generated(_extracted(spark, sf_dir), "txt")
+
+
+@query("gen_markdown", "SELECT o_orderkey AS id, '# Order ' || o_orderkey || chr(10) || chr(10) || 'status **' || o_orderstatus || '** end' || chr(10) || chr(10) || '- by ' || o_custkey || chr(10) || chr(10) || '  2) in ' || o_orderpriority || chr(10) || chr(10) || '| key | value |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderkey || ' | ' || o_custkey || ' |' || chr(10) || chr(10) || '```sql' || chr(10) || 'select ' || o_custkey || chr(10) || '```' || chr(10) || chr(10) || '![img](a/p' || o_custkey || '.png)' || chr(10) AS text FROM orders")
+def gen_markdown(spark, sf_dir):
+    return _generated(_extracted(spark, sf_dir), "md")
+
+
+@query("gen_html_table", "SELECT o_orderkey AS id, '<table><tr><td>key</td><td>value</td></tr><tr><td>' || o_orderkey || '</td><td>' || o_custkey || '</td></tr></table>' AS text FROM orders")
+def gen_html_table(spark, sf_dir):
+    return _generated(_extracted(spark, sf_dir), "html").select("id", F.regexp_extract("text", "(?s)(<table>.*</table>)", 1).alias("text"))
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    made = D.generate(_extracted(spark, sf_dir), form).select("id", "content", F.lit(form).alias("extension"))
+    back = D.extract(made).select("id", F.explode("doc.paragraphs").alias("p"))
+    return back.select("id", "p.index", "p.text")
+
+
+for _form, _texts in {
+    "docx": _PLAIN,
+    "pptx": "['Order ' || o_orderkey, 'status **' || o_orderstatus || '** end', 'by ' || o_custkey, 'in ' || o_orderpriority, 'select ' || o_custkey, '![img](a/p' || o_custkey || '.png)']",
+    "pdf": "['Order ' || o_orderkey, 'status **' || o_orderstatus || '** end', '- by ' || o_custkey, '2) in ' || o_orderpriority, 'key | value', o_orderkey || ' | ' || o_custkey, 'select ' || o_custkey, '![img](a/p' || o_custkey || '.png)']",
+}.items():
+    query(f"{_form}_roundtrip", _list_sql(_texts))(lambda spark, sf_dir, form=_form: _round_trip(spark, sf_dir, form))
+
+
+@query("html_roundtrip")
+def html_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "html")
+
+
+@query("sliding_text_chunks")
+def sliding_text_chunks(spark, sf_dir):
+    """The plain chunker of page text, over documents as pages."""
+    from pyspark.sql import types as T
+
+    def work(text):
+        from vellum.formats.pdf import sliding_chunks
+
+        return (sliding_chunks([(" ", text or "")]),)
+
+    rows = D.mapped(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], {"chunks": T.ArrayType(T.StringType())}, work)
+    return rows.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk"))
+
+
+@query("media_base64", "SELECT p_partkey, to_base64(encode(p_name)) AS base64, 'image/png' AS content_type, 'p' || p_partkey || '.png' AS file_name FROM part")
+def media_base64(spark, sf_dir):
+    """Payloads stay binary; base64 is made at the edge only."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("content"), F.concat(F.lit("a/b/p"), "p_partkey", F.lit(".png")).alias("path"))
+    return rows.select("p_partkey", F.base64("content").alias("base64"), F.when(F.endswith("path", F.lit(".png")), "image/png").alias("content_type"), F.element_at(F.split("path", "/"), -1).alias("file_name"))
