@@ -31,8 +31,9 @@ _FIELD = rf"(?<![^{_BLANK}])(?=[^{_BLANK}0-9]*+[0-9])[^{_BLANK}]++"
 
 def template(line: Column) -> Column:
     """The line's tokens, joined by one space, with `<*>` for those that hold a digit."""
-    masked = F.regexp_replace(line, _FIELD, "<*>")
-    return F.trim(F.regexp_replace(masked, rf"[{_BLANK}]+", " "))
+    # Most lines have no digit and single spaces only; a search is far cheaper than a replacement.
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
+    return F.trim(F.when(masked.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(masked, rf"[{_BLANK}]+", " ")).otherwise(masked))
 
 
 def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -72,7 +73,7 @@ def recurring(rows: DataFrame, lines: DataFrame, min_texts: int, min_variants: i
         rare.groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("texts").alias("texts")).where((F.col("variants") >= min_variants) & (F.col("texts") >= min_texts)).select("leaf"),
         "leaves",
     )
-    split = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(template(F.col("line")).alias("t")).where("t <> ''").withColumn("leaf", _leaf(F.col("t")))
+    split = rows.select(F.explode(F.transform(F.split("text", "\n", -1), template)).alias("t")).where("t <> ''").withColumn("leaf", _leaf(F.col("t")))
     some = split.join(leaves, "leaf", "left_semi").select("leaf", "t").distinct().withColumn("tid", F.xxhash64("t"))
     tokens = F.transform(F.split("t", " "), lambda x, i: F.xxhash64(i, x))
     placed = some.select("leaf", "tid", tokens.alias("h")).withColumn("all", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
@@ -105,7 +106,8 @@ def drop_recurring_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "
     n = F.coalesce(F.size(split), F.lit(0))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone"), lambda i: F.get(F.col("split"), i)), "\n")
     return (
-        whole.join(hits, whole.key == hits.hit, "left")
+        # Merged, never broadcast: what is hit grows with the corpus.
+        whole.hint("merge").join(hits, whole.key == hits.hit, "left")
         .withColumn("split", split)
         .select(
             "row", "doc_id", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
