@@ -9,7 +9,7 @@ counted.
 
 Buckets hold distinct fingerprints only.  One with over BUCKET of them (a large group of near copies) is split again
 by the same argument: of four parts of its free bits one must be equal.  Each split leaves fewer free bits, so after
-at most four no bucket can be larger.  A bucket yields a spanning forest of its links, never its pairs.
+at most four splits no bucket can be larger.  A bucket yields a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -188,7 +188,8 @@ def links(distinct: DataFrame, *, distance: int = 3, bucket: int = BUCKET) -> Da
     by = ["start", "mask", "val"]
     while True:
         sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-        hot = store.keep(sizes.where(F.col("n") > bucket).drop("n"), "buckets")
+        # Eleven free bits tell at most 2048 fingerprints apart: such a bucket is small enough as it is.
+        hot = store.keep(sizes.where((F.col("n") > bucket) & (F.bit_count("mask") < 64 - 11)).drop("n"), "buckets")
         some = not hot.isEmpty()
         cold = rows.join(hot, by, "left_anti") if some else rows
         found.append(store.keep(cold.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(_links(distance), "a long, b long").distinct(), "links"))
@@ -240,7 +241,8 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **h
     keys = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     found = store.keep(near_duplicates(keys, text="text", doc_id="key", **how).select("doc_id", "component_id"), "near")
     stay = store.keep(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("stay")).agg(F.count("*").alias("n")), "stay")
-    kept = rows.join(stay, rows.key == stay.stay, "left_semi")
+    # Merged, never broadcast: what stays grows with the corpus.
+    kept = rows.hint("merge").join(stay, rows.key == stay.stay, "left_semi")
     if not stay.where("n > 1").isEmpty():
         kept = kept.groupBy("key").agg(F.first("row").alias("row"))
     return kept.select("row.*")
