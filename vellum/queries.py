@@ -693,3 +693,30 @@ def media_base64(spark, sf_dir):
     """Payloads stay binary; base64 is made at the edge only."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("content"), F.concat(F.lit("a/b/p"), "p_partkey", F.lit(".png")).alias("path"))
     return rows.select("p_partkey", F.base64("content").alias("base64"), F.when(F.endswith("path", F.lit(".png")), "image/png").alias("content_type"), F.element_at(F.split("path", "/"), -1).alias("file_name"))
+
+
+# -- JSON payloads ------------------------------------------------------------------------------------------------
+
+@query("payload_chunks", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'html' ELSE 'txt' END AS extension, CASE WHEN o_orderkey % 3 = 0 THEN 'r.html' ELSE 'r.txt' END AS filename,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 'Order ' || o_orderkey || chr(10) || '- item ' || o_custkey END AS text, CASE WHEN o_orderkey % 3 = 0 THEN 'html is not supported' END AS error FROM orders""")
+def payload_chunks(spark, sf_dir):
+    """Documents as JSON through the chunk request: an extraction's answer, wrapped or not, in two formats."""
+    from vellum.sources import payloads as P
+
+    text = F.concat(F.lit("Order "), "o_orderkey", F.lit("\n\n- item "), "o_custkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.encode(text, "UTF-8").alias("content"), F.lit("txt").alias("extension"))
+    made = D.extract(rows).select("id", P.to_payload(F.col("doc"), F.when(F.col("id") % 3 == 0, "html").otherwise("TXT")).alias("payload"))
+    named = made.select("id", F.concat(F.lit('{"filename":"r",'), F.substr("payload", F.lit(2))).alias("payload"))
+    return P.chunk_request(named).select("id", "extension", "filename", F.array_join("chunks", "\n").alias("text"), "error")
+
+
+@query("generation_formats", "SELECT doc_id, (['pdf', 'docx', 'html', 'md', 'docx', 'pptx'])[doc_id % 6 + 1] AS format, (['txt', 'docx', 'docx', NULL, 'html', 'pptx'])[doc_id % 6 + 1] AS editor FROM documents")
+def generation_formats(spark, sf_dir):
+    from vellum.sources import payloads as P
+
+    payloads = F.array(*[F.lit(x) for x in (
+        '{"target_format":".PDF","output_format":"html","extension":"txt"}', '{"target_format":"json","output_format":"xyz"}', '{"output_format":"htm","document_type":"docx"}',
+        '{"target_format":"xml","output_format":"markdown","extracted_data":{"extension":"pdf"}}', '{"extracted_data":{"metadata":{"source_type":"html"}}}', '{"extracted_data":{"document_type":"pptx"}}',
+    )])
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.get(payloads, (F.col("doc_id") % 6).cast("int")).alias("p"))
+    return rows.select("doc_id", P.generation_format(F.col("p")).alias("format"), P.edit_extension(F.col("p")).alias("editor"))
