@@ -67,7 +67,7 @@ def _fingerprints(size: int, seed: int):
         hashed = xxhash.xxh64_intdigest
         for batch in batches:
             out = np.zeros(batch.num_rows, _U64)
-            for a, b, buf, off in K.text_chunks(batch.column(0), K.CHUNK_BYTES // 2):
+            for a, b, buf, off in K.text_chunks(batch.column(0), K.CHUNK_BYTES // 4):
                 words = K.Words(K.LOWER[buf], off, K.NOT_BLANK)
                 n = len(words)
                 if not n:
@@ -87,7 +87,7 @@ def _fingerprints(size: int, seed: int):
                 h = np.array([hashed(raw[x:y], seed) for x, y in zip(begin[at].tolist(), end[last].tolist(), strict=True)], dtype=_U64)
                 some = shingles > 0
                 bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones = np.add.reduceat(bits, first[some], axis=0, dtype=np.int64)
+                ones = np.add.reduceat(bits, first[some], axis=0, dtype=np.int32)
                 part = np.zeros(b - a, _U64)
                 part[some] = np.packbits(2 * ones > shingles[some][:, None], axis=1, bitorder="little").view(_U64).ravel()
                 out[a:b] = part

@@ -50,8 +50,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at once.  Spark's own 64 MB take several times that, in the JVM (outside
+#: the heap, in buffers that double) and in the worker, for each task that runs.
+BATCH_BYTES = 8_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep Arrow batches small."""
     ship(spark)
+    if int(str(spark.conf.get(_BATCH)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

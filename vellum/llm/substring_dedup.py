@@ -68,14 +68,21 @@ def _anchors(words: K.Words, h: np.ndarray, size: int, period: int, cover: tuple
 
 
 def _anchor_counts(size: int, period: int, cover: tuple[int, ...]):
+    def merged(found: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
         for batch in batches:
-            found = [np.zeros(0, _U64)]
             for _, _, buf, off in K.text_chunks(batch.column(0)):
                 words = K.Words(buf, off, K.NOT_BLANK)
                 found.append(_anchors(words, words.hashes(), size, period, cover)[1])
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            if sum(map(len, found)) >= MERGE_ROWS:
+                yield merged(found)
+                found = []
+        if found:
+            yield merged(found)
 
     return count
 
