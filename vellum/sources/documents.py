@@ -6,6 +6,7 @@ job.  Texts are read by column expressions; other formats by Arrow batches throu
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Callable, Iterator
 
@@ -53,12 +54,13 @@ def _reader(name: str, include_media: bool, profile: str) -> Callable[[bytes], d
     }[name]
 
 
-def mapped(df: DataFrame, inputs: list[str], outputs: dict[str, T.DataType], work: Callable[..., tuple]) -> DataFrame:
+def mapped(df: DataFrame, inputs: list[str], outputs: dict[str, T.DataType], work: Callable[..., tuple], consumed: tuple[str, ...] = ()) -> DataFrame:
     """Adds columns that a Python function makes of some others, row by row within Arrow batches.
 
-    Only the inputs, and the columns that stay, travel; a row of any size is a batch of its own if need be."""
+    Only the inputs, and the columns that stay, travel; `consumed` columns end here.  A row of any size is a batch of
+    its own if need be."""
     ship(df.sparkSession)
-    stays = [c for c in df.columns if c not in outputs]
+    stays = [c for c in df.columns if c not in outputs and c not in consumed]
     schema = T.StructType([df.schema[c] for c in stays] + [T.StructField(k, v) for k, v in outputs.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,14 +80,16 @@ def _shaped(document: dict) -> dict:
     return out
 
 
-def _plain(document: dict | None) -> dict:
-    out = dict(document or {})
-    if isinstance(out.get("metadata"), list):
-        out["metadata"] = dict(out["metadata"])
-    for p in out.get("paragraphs") or []:
-        source = p.get("source")
-        if source and isinstance(source.get("attrs"), list):
-            source["attrs"] = dict(source["attrs"])
+#: A document goes to Python as JSON, which is read many times faster than nested Arrow values.
+_JSON = "_document_json"
+
+
+def _plain(raw: str | None) -> dict:
+    """The document of a JSON text; binary payloads are base64 there."""
+    out = json.loads(raw) if raw else {}
+    for item in [*(out.get("media") or []), *(out.get("parts") or [])]:
+        if item.get("content") is not None:
+            item["content"] = base64.b64decode(item["content"])
     return out
 
 
@@ -144,7 +148,7 @@ def edit(df: DataFrame, instructions: list[dict] | DataFrame, *, doc_id: str = "
         df = df.withColumn("instructions", F.lit(json.dumps(instructions)))
         parsed = False
 
-    def work(document: dict | None, raw: str | None) -> tuple:
+    def work(document: str | None, raw: str | None) -> tuple:
         from vellum.formats.edit import edit as apply
 
         steps = json.loads(raw) if raw else []
@@ -158,7 +162,8 @@ def edit(df: DataFrame, instructions: list[dict] | DataFrame, *, doc_id: str = "
         except ValueError as e:
             return _shaped(plain), 0, str(e)
 
-    return mapped(df, ["doc", "instructions"], {"doc": DOCUMENT, "applied_instructions": T.IntegerType(), "error": T.StringType()}, work).drop("instructions")
+    outputs = {"doc": DOCUMENT, "applied_instructions": T.IntegerType(), "error": T.StringType()}
+    return mapped(df.withColumn(_JSON, F.to_json("doc")), [_JSON, "instructions"], outputs, work, (_JSON, "instructions"))
 
 
 def generate(df: DataFrame, output_format: str, *, title: str | None = None) -> DataFrame:
@@ -167,7 +172,7 @@ def generate(df: DataFrame, output_format: str, *, title: str | None = None) ->
     name = known.get(output_format.lower().lstrip("."), output_format.lower().lstrip("."))
     name = name if name in FORMATS else "docx"
 
-    def work(document: dict | None) -> tuple:
+    def work(document: str | None) -> tuple:
         from vellum.formats import ooxml, pdf, writers
 
         write = {"txt": writers.write_text, "md": writers.write_markdown, "html": writers.write_html, "docx": ooxml.write_docx, "pptx": ooxml.write_pptx, "pdf": pdf.write_pdf}[name]
@@ -177,7 +182,7 @@ def generate(df: DataFrame, output_format: str, *, title: str | None = None) ->
         except Exception as e:  # noqa: BLE001 - one document's fault is its own
             return None, f"{type(e).__name__}: {e}"
 
-    return mapped(df, ["doc"], {"content": T.BinaryType(), "error": T.StringType()}, work)
+    return mapped(df.withColumn(_JSON, F.to_json("doc")), [_JSON], {"content": T.BinaryType(), "error": T.StringType()}, work, (_JSON,))
 
 
 def chunk(df: DataFrame, profile: str = "chunking", **sizes: int) -> DataFrame:
