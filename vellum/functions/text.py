@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The characters that count as white space, and those that end a line.
 WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NOT_WS = "[^" + WS[1:]
+#: White space but for the plain space.
+ODD_WS = r"[\t-\r" + WS[3:]
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -18,16 +20,19 @@ def let(value: Column, use) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    # A look at the two ends is far cheaper than the replacement, which most texts do not need.
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(WS), F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")).otherwise(c)
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+$", "")
+    return F.when(F.right(c, F.lit(1)).rlike(WS), F.regexp_replace(c, rf"{WS}+$", "")).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:
     """White space collapsed to single spaces and stripped; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{WS}+", " "))
+    # Single plain spaces stay as they are, so only the odd ones are replaced.
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{WS}{{2,}}|{ODD_WS}", " "))
 
 
 def is_blank(c: Column) -> Column:
@@ -89,12 +94,13 @@ def heading_level(style: Column) -> Column:
 
 def format_paragraph(p: Column) -> Column:
     """A paragraph as one line of text, with its list marker; empty if it has no text."""
-    text = clean_text(p["text"])
     marker = F.coalesce(F.nullif(p["numbering_format"], F.lit("")), F.lit("1."))
-    out = F.when(F.coalesce(p["is_bullet"], F.lit(False)), F.concat(F.lit("- "), text)).when(
-        F.coalesce(p["is_numbered"], F.lit(False)), strip(F.concat(marker, F.lit(" "), text))
-    ).otherwise(text)
-    return F.when(text == "", "").otherwise(out)
+
+    def line(text: Column) -> Column:
+        numbered = strip(F.concat(marker, F.lit(" "), text))
+        return F.when(text == "", "").when(F.coalesce(p["is_bullet"], F.lit(False)), F.concat(F.lit("- "), text)).when(F.coalesce(p["is_numbered"], F.lit(False)), numbered).otherwise(text)
+
+    return let(clean_text(p["text"]), line)
 
 
 def format_table(t: Column) -> Column:

@@ -15,7 +15,6 @@ from vellum.schema import LIST_INFO, PARAGRAPH, RUN, SOURCE
 _MARK = "\u001e"
 _BULLET = rf"^{X.WS}*[-*+]{X.WS}+"
 _NUMBER = rf"^{X.WS}*(\d+[.)]){X.WS}+"
-_DIVIDER = rf"^[-=*_~]{{3,}}{X.WS}*$"
 
 
 def make(spec, **given: Column) -> Column:
@@ -26,11 +25,14 @@ def make(spec, **given: Column) -> Column:
 def blocks(text: Column, *, drop_dividers: bool = False) -> Column:
     """The stripped text of each block: list lines stand alone, blank lines (and dividers) end blocks."""
 
+    kinds = [rf"{X.WS}*$", rf"{X.WS}*(?:[-*+]|\d+[.)]){X.WS}"] + ([rf"{X.WS}*[-=*_~]{{3,}}{X.WS}*$"] if drop_dividers else [])
+    special = "^(?:" + "|".join(kinds) + ")"
+
     def mark(line: Column) -> Column:
-        ends = X.is_blank(line)
-        if drop_dividers:
-            ends = ends | X.strip(line).rlike(_DIVIDER)
-        return F.when(ends, F.lit(_MARK)).when(line.rlike(_BULLET) | line.rlike(_NUMBER), F.concat(F.lit(_MARK), X.rstrip(line), F.lit(_MARK))).otherwise(X.rstrip(line))
+        item = line.rlike(_BULLET) | line.rlike(_NUMBER)
+        marked = F.when(item, F.concat(F.lit(_MARK), X.rstrip(line), F.lit(_MARK))).otherwise(F.lit(_MARK))
+        # One test tells plain lines, which are most, from blank lines, list lines and dividers.
+        return F.when(line.rlike(special), marked).otherwise(X.rstrip(line))
 
     joined = F.array_join(F.transform(X.split_lines(text), mark), "\n")
     return F.filter(F.transform(F.split(joined, rf"(?:\n?{_MARK}\n?)+"), X.strip), lambda b: b != "")

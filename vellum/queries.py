@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer parts than there are cores, dealt out; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def each(df: DataFrame, items: Column, *keys: str, start: str = "index") -> DataFrame:
     """A row for each item of an array, with its place from 0."""
     return df.select(*keys, F.posexplode(items).alias(start, "item"))
@@ -102,7 +108,7 @@ def _doc(paragraphs: Column, order: Column) -> Column:
 def document_chunks(docs: DataFrame, profile: str) -> DataFrame:
     """(doc_id, lang, chunk_index, text) of plain-text documents."""
     divider = profile == "chunking"
-    read = docs.select("doc_id", "lang", ET.paragraphs(F.col("text"), drop_dividers=divider).alias("p"))
+    read = spread(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", ET.paragraphs(F.col("text"), drop_dividers=divider).alias("p"))
     chunks = C.chunk_document(_doc(F.col("p"), ET.order(F.col("p"))), profile)
     return read.select("doc_id", "lang", F.posexplode(chunks).alias("chunk_index", "text"))
 
@@ -483,7 +489,7 @@ def md_chunks(spark, sf_dir):
 # -- HTML pages ---------------------------------------------------------------------------------------------------
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit("html").alias("extension"))
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit("html").alias("extension"))
     return D.extract(rows).select("page_id", "doc")
 
 
