@@ -496,6 +496,25 @@ def test_line_dedup_spares_copies(spark):
     assert line_dedup.drop_recurring_lines(docs(spark, texts)).where("n_removed > 0").isEmpty()
 
 
+def test_line_dedup_counts_texts_whatever_surrounds(spark):
+    word = lambda i, j: re.sub("[0-9]", "", prose(9, 1000 * i + j)) + " " + "".join("abcdefghij"[int(d)] for d in f"{i}{j}")
+    block = ["Home", "News", "Contact us", "About this site"]
+    texts = ["\n".join([*block, word(i, 1), "", "Set off by blank lines", "", word(i, 2), word(i, 3), word(i, 4)]) for i in range(60)]
+    # A line always between the same two neighbours, in many more texts than there are pairs of neighbours.
+    texts += ["\n".join([word(i, 5), word(i, 6), f"pre {'ab'[i % 2]}", "One line below them", f"post {'xyz'[i % 3]}", word(i, 7)]) for i in range(60, 260)]
+    for r in line_dedup.drop_recurring_lines(docs(spark, texts)).collect():
+        lines = texts[r.doc_id].split("\n")
+        own = (4, 5, 7, 8, 9, 10) if r.doc_id < 60 else (0, 1, 5)
+        assert r.kept_text == "\n".join(lines[i] for i in own)
+
+
+def test_line_dedup_spares_many_copies(spark):
+    base = [re.sub("[0-9]", "", prose(12, 50 + i)) for i in range(12)]
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    texts = ["\n".join(x + f" changed {name(i)}" if j == i % 12 else x for j, x in enumerate(base)) for i in range(600)]
+    assert line_dedup.drop_recurring_lines(docs(spark, texts)).where("n_removed > 0").isEmpty()
+
+
 def test_native_plan_has_no_python(table):
     plan = line_dedup.drop_recurring_lines(table)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

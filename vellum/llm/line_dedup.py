@@ -5,9 +5,10 @@ variable field, written `<*>` from the start.  In a leaf, a place behind the lea
 too if the templates that differ there, and nowhere else, are MIN_VARIANTS or more; a token hashed with its place and
 taken out of the exclusive-or of all of a line's tokens gives every "all but this place" in one pass.
 
-A template recurs if it stands in MIN_TEXTS or more different texts, and in as many different surroundings (the
-templates of the lines before and after) as half of these: boilerplate stands among lines of every kind, whereas a
-line of a text that merely has many near copies keeps its neighbours.  All lines of recurring templates go.
+A template recurs if it stands in MIN_TEXTS or more different texts, wherever it stands in them and whatever stands
+beside it.  Near copies count as one text: a text of whose characters NEAR or more lie in lines that MIN_TEXTS texts
+hold goes by the longest such line, which its near copies share, instead of by its own digest.  All lines of recurring
+templates go.
 
 Counting is an aggregate that tasks combine before the shuffle; rows carry hashes, not lines.  The texts are shuffled
 once, by row.
@@ -23,6 +24,8 @@ from vellum.llm import store
 DEPTH = 3
 MIN_TEXTS = 10
 MIN_VARIANTS = 3
+#: Share of a text in common lines from which it counts as a near copy.
+NEAR = 0.8
 
 _BLANK = r"\x20\x09-\x0D"
 #: A token with a digit.  Only the start of a token can match, so long tokens are read twice at most.
@@ -53,21 +56,31 @@ def _lines(rows: DataFrame) -> DataFrame:
     """A row of hashes for each line that has a token."""
     templates = F.transform(F.split("text", "\n", -1), template)
     kept = rows.select(_key().alias("key"), F.xxhash64("text").alias("digest"), templates.alias("templates"))
-    kept = kept.withColumn("ids", F.transform("templates", lambda t: F.xxhash64(t)))
-    around = lambda x, i: F.xxhash64(F.get(F.col("ids"), i - 1), F.get(F.col("ids"), i + 1))
-    each = F.transform("templates", lambda t, i: F.struct(i.alias("pos"), F.xxhash64(t).alias("tid"), _leaf(t).alias("leaf"), around(t, i).alias("around"), (t == "").alias("blank")))
-    return kept.select("key", "digest", F.explode(each).alias("x")).where("not x.blank").select("key", "digest", "x.pos", "x.tid", "x.leaf", "x.around")
+    kept = kept.withColumn("total", F.length(F.array_join("templates", "")))
+    each = F.transform("templates", lambda t, i: F.struct(i.alias("pos"), F.xxhash64(t).alias("tid"), _leaf(t).alias("leaf"), F.length(t).alias("size")))
+    return kept.select("key", "digest", "total", F.explode(each).alias("x")).where("x.size > 0").select("key", "digest", "total", "x.pos", "x.tid", "x.leaf", "x.size")
 
 
-def _recurs(texts: Column, surroundings: Column, min_texts: int) -> Column:
-    return (texts >= min_texts) & (surroundings >= min_texts) & (2 * surroundings >= texts)
+def near_copies(often: DataFrame) -> DataFrame:
+    """(digest, copy) of the texts that are mostly common lines; `often` has the lines that enough texts hold."""
+    once = often.groupBy("digest", "pos").agg(F.first("total").alias("total"), F.first("size").alias("size"), F.first("tid").alias("tid"))
+    own = once.groupBy("digest").agg(F.first("total").alias("total"), F.sum("size").alias("common"), F.max(F.struct("size", "tid")).alias("longest"))
+    return own.where(F.col("common") >= NEAR * F.col("total")).select("digest", F.xxhash64("longest.tid").alias("copy"))
+
+
+def _texts(lines: DataFrame, copies: DataFrame) -> DataFrame:
+    """(leaf, tid, own) for each line: `own` tells texts apart, near copies not."""
+    # Merged, never broadcast: near copies grow with the corpus.
+    return lines.select("leaf", "tid", "digest").distinct().hint("merge").join(copies, "digest", "left").select("leaf", "tid", F.coalesce("copy", "digest").alias("own"))
 
 
 def recurring(rows: DataFrame, lines: DataFrame, min_texts: int, min_variants: int) -> DataFrame:
     """(tid) of the recurring templates."""
-    stats = store.keep(lines.groupBy("leaf", "tid").agg(F.count_distinct("digest").alias("texts"), F.count_distinct("around").alias("surroundings")), "templates")
-    exact = _recurs(F.col("texts"), F.col("surroundings"), min_texts)
-    rare = stats.where(~exact)
+    stats = store.keep(lines.groupBy("leaf", "tid").agg(F.count_distinct("digest").alias("texts")), "templates")
+    often = store.keep(lines.join(stats.where(F.col("texts") >= min_texts).select("tid"), "tid", "left_semi"), "often")
+    copies = store.keep(near_copies(often), "copies")
+    exact = store.keep(_texts(often, copies).groupBy("tid").agg(F.count_distinct("own").alias("n")).where(F.col("n") >= min_texts).select("tid"), "exact")
+    rare = stats.join(exact, "tid", "left_anti")
     # Only leaves that hold enough different templates can have a variable field.
     leaves = store.keep(
         rare.groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("texts").alias("texts")).where((F.col("variants") >= min_variants) & (F.col("texts") >= min_texts)).select("leaf"),
@@ -78,11 +91,14 @@ def recurring(rows: DataFrame, lines: DataFrame, min_texts: int, min_variants: i
     tokens = F.transform(F.split("t", " "), lambda x, i: F.xxhash64(i, x))
     placed = some.select("leaf", "tid", tokens.alias("h")).withColumn("all", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
     but_one = placed.select("leaf", "tid", "all", F.posexplode("h").alias("place", "own")).where(F.col("place") >= DEPTH).select("leaf", "tid", "place", F.col("all").bitwiseXOR(F.col("own")).alias("rest"))
-    but_one = store.keep(but_one.join(rare, ["leaf", "tid"]), "variants")
+    but_one = store.keep(but_one.join(rare.select("leaf", "tid"), ["leaf", "tid"]), "variants")
     by = ["leaf", "place", "rest"]
-    general = but_one.groupBy(*by).agg(F.count("*").alias("variants"), F.sum("texts").alias("all_texts"), F.sum("surroundings").alias("all_around"))
-    general = store.keep(general.where((F.col("variants") >= min_variants) & _recurs(F.col("all_texts"), F.col("all_around"), min_texts)).select(*by), "fields")
-    return stats.where(exact).select("tid").unionByName(but_one.join(general, by, "left_semi").select("tid")).distinct()
+    general = but_one.groupBy(*by).agg(F.count("*").alias("variants")).where(F.col("variants") >= min_variants).select(*by)
+    but_one = store.keep(but_one.join(general, by, "left_semi"), "several")
+    texts = _texts(lines.join(but_one.select("tid").distinct(), "tid", "left_semi"), copies)
+    general = but_one.join(texts.select("tid", "own"), "tid").groupBy(*by).agg(F.count_distinct("own").alias("n"))
+    general = store.keep(general.where(F.col("n") >= min_texts).select(*by), "fields")
+    return exact.unionByName(but_one.join(general, by, "left_semi").select("tid")).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_texts: int = MIN_TEXTS, min_variants: int = MIN_VARIANTS) -> DataFrame:
