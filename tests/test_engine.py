@@ -99,3 +99,44 @@ def test_queries_match_sql(spark, sf, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want, got = con.sql(Q.ORACLES[name]).df(), Q.QUERIES[name](spark, sf).toPandas()
     assert list(got.columns) and sorted(got.columns) == sorted(want.columns) and _rows(got) == _rows(want)
+
+
+def _brute_large(text):
+    out, cur = [], ""
+    for x in filter(None, (s.strip() for s in re.split(r"(?<=[.!?])\s+", text))):
+        if len(joined := f"{cur} {x}" if cur else x) <= 1200:
+            cur = joined
+            continue
+        out, cur = [*out, cur], x
+        while len(cur) > 1200:
+            at = cur.rfind(" ", 0, 1200)
+            at = 1200 if at <= 600 else at
+            out, cur = [*out, cur[:at].strip()], cur[at:].strip()
+    return [x for x in (*out, cur) if x]
+
+
+def _brute_parts(parts, name):
+    out, cur = [], ""
+    for p in parts:
+        joined = f"{cur}\n{p}" if cur else p
+        if name.startswith("chunk_merge"):
+            fits = cur and len(p) < 350 and len(joined) <= (1200 if name.endswith("a") else 1550)
+        elif len(p) > 1200:
+            out, cur = [*out, cur, *_brute_large(p)], ""
+            continue
+        else:
+            fits = (len(joined) if name == "chunk_greedy_pack" else len(p) + bool(cur)) <= 1200
+        out, cur = (out, joined) if fits else ([*out, cur], p)
+    return [x for x in (*out, cur) if x]
+
+
+@pytest.mark.parametrize("name", ["chunk_greedy_pack", "chunk_q1_pack", "chunk_merge_short_a", "chunk_merge_short_b"])
+def test_packing_takes_whole_turns(spark, sf, name):
+    turns, got = {}, {}
+    for r in sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r.turn, r.role, r.text)):
+        if part := " ".join((r.text or "").split()):
+            turns.setdefault(r.conv_id, []).append(part)
+    assert max(len(p) for x in turns.values() for p in x) > 1200
+    for r in sorted(Q.QUERIES[name](spark, sf).collect()):
+        got.setdefault(r.conv_id, []).append(r.text)
+    assert got == {i: _brute_parts(x, name) for i, x in turns.items()}

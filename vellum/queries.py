@@ -215,7 +215,8 @@ _PARTS = rf"parts AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.trim(F.substring(X.clean_text(F.col("text")), 1, 1200)).alias("part")).where("part <> ''")
+    """Whole turns; the SQL above still cuts them to 1,200 characters."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", X.clean_text(F.col("text")).alias("part")).where("part <> ''")
     return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "part"))), lambda s: s["part"]).alias("parts"))
 
 
