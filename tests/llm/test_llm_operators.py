@@ -356,6 +356,35 @@ def test_url_filter(spark):
     assert {x.verdict for x in url_filter.judge(spark.createDataFrame(list(enumerate(new)), "page_id long, url string")).collect()} == {"allow"}
 
 
+def test_url_scores_are_exact(spark):
+    r = random.Random(3)
+    path = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(90))
+    urls = [f"http://a.net/de/{path()}" for _ in range(1500)] + [f"http://a.com/en/{path()}" for _ in range(1500)] + [f"http://a.info/{path()}" for _ in range(5)]
+    urls += urls[:3] + urls[-1:]
+    count = {"allow": {}, "block": {}}
+    rules = url_filter.Rules(url_filter.RULES)
+    padded = lambda u: b"\0" * url_filter.ORDER + u.split("://")[1].encode()
+    for u in urls:
+        action = rules.find(*url_filter.split_url(u))[1]
+        if action and zlib.crc32(u.encode()) % url_filter.CALIBRATE_EACH:
+            t = padded(u)
+            for i in range(url_filter.ORDER, len(t)):
+                for k in range(url_filter.ORDER + 1):
+                    for x in (t[i - k : i + 1], (t[i - k : i],)):
+                        count[action][x] = count[action].get(x, 0) + 1
+    got = {x.page_id: x.score for x in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(got) == len(urls)
+    for at in (*range(0, 3000, 300), *range(3000, len(urls))):
+        t, want = padded(urls[at]), 0.0
+        for i in range(url_filter.ORDER, len(t)):
+            for sign, c in ((-1, count["allow"]), (1, count["block"])):
+                p = 1 / 256
+                for k in range(url_filter.ORDER + 1):
+                    p = (c.get(t[i - k : i + 1], 0) + url_filter.WEIGHT * p) / (c.get((t[i - k : i],), 0) + url_filter.WEIGHT)
+                want += sign * np.log(p)
+        assert abs(got[at] - want / (len(t) - url_filter.ORDER)) < 1e-6
+
+
 # -- quality rules ------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,9 @@ without its first byte, and so on down to the uniform one, so a context counts f
 URL's score is the difference of the two log-likelihoods over its length.  Every fifth decided URL is left out of the
 counts and calibrates the threshold.
 
-Contexts are hashed into tables of a fixed size; tasks add up their own counts, over all rows.
+Contexts are kept whole, in tables that grow with the corpus.  A window (a byte after its longest context) is a number,
+so nothing clashes.  The score of a window is worked out once, from the shortest context up, by joins between tables
+of distinct windows; a URL's score is the sum of its windows' scores.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import kernels as K
 from vellum.llm import store
 
-#: Longest context in bytes, and buckets of the table of each length.
+#: Longest context in bytes; with the byte after it it must fit a long.
 ORDER = 5
-BUCKETS = 1 << 17
 #: How much the shorter context's probability weighs against the counts of the longer one.
 WEIGHT = 2.0
 #: Every so manieth decided URL calibrates.
 CALIBRATE_EACH = 5
+#: URLs that become windows at once.
+URLS = 5_000
 #: Scores are counted in steps of this size, up to LIMIT on either side.
 STEP, LIMIT = 0.01, 10.0
 
@@ -81,20 +83,16 @@ class Rules:
         return (best[1], best[2]) if best else (None, None)
 
 
-def _tables(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For every byte of every text: its bucket with, and the bucket of, each context length; and the text it is in."""
+def _windows_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of every text: it and the `order` bytes before it as a number; and the text it is in."""
     buf = np.frombuffer(b"".join(b"\0" * order + t for t in texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), size)
     at = np.arange(len(owner)) + (owner + 1) * order
-    with_byte, alone = [], []
-    context = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
-    for k in range(order + 1):
-        if k:
-            context = K.mix64(context + buf[at - k].astype(np.uint64) + np.uint64(1))
-        alone.append((context & np.uint64(BUCKETS - 1)).astype(np.int64))
-        with_byte.append((K.mix64(context ^ (buf[at].astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(BUCKETS - 1)).astype(np.int64))
-    return with_byte, alone, owner
+    window = np.zeros(len(at), np.int64)
+    for k in range(order, -1, -1):
+        window = window << 8 | buf[at - k]
+    return window, owner
 
 
 def _text(url: str | None) -> bytes:
@@ -104,82 +102,53 @@ def _text(url: str | None) -> bytes:
     return url.rpartition("://")[2].encode("utf-8", "surrogatepass") if url.count("://") == 1 else url.encode("utf-8", "surrogatepass")
 
 
-def _chunks(urls: list, limit: int = 20_000) -> Iterator[list]:
-    for i in range(0, len(urls), limit):
-        yield urls[i : i + limit]
-
-
 def _in_calibration(url: str) -> bool:
     return zlib.crc32(url.encode("utf-8", "surrogatepass")) % CALIBRATE_EACH == 0
 
 
-def _decided(batch: pa.RecordBatch, rules: Rules, calibration: bool) -> dict[str, list]:
-    out: dict[str, list] = {"allow": [], "block": []}
-    for url in batch.column(0).to_pylist():
-        action = rules.find(*split_url(url))[1]
-        if action and _in_calibration(url) == calibration:
-            out[action].append(url)
-    return out
-
+def _windows(rules: Rules, order: int):
+    """(uid, part, n, length, window) of each byte of distinct URLs; part: what the URL is for, null if undecided."""
 
-def _count(rules: Rules, order: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {a: np.zeros(2 * (order + 1) * BUCKETS, np.int64) for a in ("allow", "block")}
         for batch in batches:
-            for action, urls in _decided(batch, rules, False).items():
-                for some in _chunks(urls):
-                    joint, alone, _ = _tables([_text(u) for u in some], order)
-                    for i, x in enumerate([*joint, *alone]):
-                        total[action][i * BUCKETS : (i + 1) * BUCKETS] += np.bincount(x, minlength=BUCKETS)
-        some = np.flatnonzero(total["allow"] + total["block"])
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total["allow"][some]), pa.array(total["block"][some])], ["bucket", "allow", "block"])
+            for i in range(0, batch.num_rows, URLS):
+                some = batch.slice(i, URLS)
+                urls = some.column(0).to_pylist()
+                texts = [_text(u) for u in urls]
+                window, owner = _windows_of(texts, order)
+                actions = [rules.find(*split_url(u))[1] for u in urls]
+                part = pa.array([a and f"{a} {'later' if _in_calibration(u) else 'now'}" for a, u in zip(actions, urls, strict=True)], pa.string())
+                length = pa.array([len(t) for t in texts], pa.int64())
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([some.column(1).take(at), part.take(at), some.column(2).take(at), length.take(at), pa.array(window)], ["uid", "part", "n", "length", "window"])
 
     return work
 
 
-class Models:
-    """Counts of both models; score() is positive where the rejected URLs' model fits better."""
-
-    def __init__(self, counts: pa.Table, order: int):
-        self.order, at = order, counts["bucket"].to_numpy()
-        self.counts = {}
-        for action in ("allow", "block"):
-            table = np.zeros(2 * (order + 1) * BUCKETS, np.float32)
-            table[at] = counts[action].to_numpy()
-            self.counts[action] = table.reshape(2, order + 1, BUCKETS)
-        self.ready = all(t.any() for t in self.counts.values())
-
-    def score(self, urls: list) -> np.ndarray:
-        parts = [np.zeros(0)]
-        for some in _chunks(urls):
-            texts = [_text(u) for u in some]
-            joint, alone, owner = _tables(texts, self.order)
-            log = {}
-            for action, (seen, context) in self.counts.items():
-                p = np.full(len(owner), 1 / 256)
-                for k in range(self.order + 1):
-                    # A hash clash can put more into one table's bucket than into the other's.
-                    n = seen[k][joint[k]].astype(np.float64)
-                    p = (n + WEIGHT * p) / (np.maximum(context[k][alone[k]], n) + WEIGHT)
-                log[action] = np.log(p)
-            sums = np.bincount(owner, weights=log["block"] - log["allow"], minlength=len(some))
-            parts.append(sums / np.maximum([len(t) for t in texts], 1))
-        return np.concatenate(parts)
-
-
-def _histogram(rules: Rules, models):
-    bins = int(2 * LIMIT / STEP) + 1
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {a: np.zeros(bins, np.int64) for a in ("allow", "block")}
-        for batch in batches:
-            for action, urls in _decided(batch, rules, True).items():
-                at = np.clip(np.round((models.value.score(urls) + LIMIT) / STEP), 0, bins - 1).astype(np.int64)
-                total[action] += np.bincount(at, minlength=bins)
-        some = np.flatnonzero(total["allow"] + total["block"])
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total["allow"][some]), pa.array(total["block"][some])], ["bin", "allow", "block"])
-
-    return work
+def window_scores(windows: DataFrame, order: int) -> DataFrame:
+    """(window, score) of each distinct window: how much likelier its last byte is in the rejected URLs' model.
+
+    Of one window at most 256 are longer by a byte, so no key of these joins is common."""
+    weight = lambda a: F.sum(F.when(F.col("part") == f"{a} now", F.col("n")).otherwise(0)).alias(a)
+    level = store.keep(windows.groupBy("window").agg(weight("allow"), weight("block")), "windows")
+    levels = [level]
+    for k in range(order - 1, -1, -1):
+        # Without the byte farthest back.
+        short = F.col("window").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        level = store.keep(level.groupBy(short.alias("window")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "windows")
+        levels.append(level)
+    shorter = None
+    for k, level in enumerate(reversed(levels)):
+        context = F.shiftright("window", 8)
+        seen = level.groupBy(context.alias("context")).agg(F.sum("allow").alias("allow_all"), F.sum("block").alias("block_all"))
+        own = level.withColumn("context", context).join(seen, "context")
+        if shorter is None:
+            own = own.withColumns({f"p_{a}": F.lit(1 / 256) for a in ("allow", "block")})
+        else:
+            own = own.withColumn("short", F.col("window").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(shorter.withColumnRenamed("window", "short"), "short")
+        p = {a: ((F.col(a) + WEIGHT * F.col(f"p_{a}")) / (F.col(f"{a}_all") + WEIGHT)).alias(f"p_{a}") for a in ("allow", "block")}
+        shorter = store.keep(own.select("window", p["allow"], p["block"]), "chances")
+    return shorter.select("window", (F.log("p_block") - F.log("p_allow")).alias("score"))
 
 
 def best_threshold(counts: pa.Table) -> float:
@@ -195,16 +164,14 @@ def best_threshold(counts: pa.Table) -> float:
     return float((best[0] + best[-1]) / 2 + 0.5) * STEP - LIMIT
 
 
-def _judge(rules: Rules, models, threshold: float):
+def _judge(rules: Rules, ready: bool, threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = models.value
         for batch in batches:
-            urls = batch.column(0).to_pylist()
-            parts = [split_url(u) for u in urls]
+            parts = [split_url(u) for u in batch.column(0).to_pylist()]
             found = [rules.find(*p) for p in parts]
-            score = own.score(urls) if own.ready else np.zeros(len(urls))
-            verdict = [a or ("block" if own.ready and s > threshold else "allow") for (_, a), s in zip(found, score, strict=True)]
-            cols = [batch.column(1), *(pa.array(x, pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], [r for r, _ in found], verdict)), pa.array(score, pa.float64())]
+            score = batch.column(2).to_pylist()
+            verdict = [a or ("block" if ready and s > threshold else "allow") for (_, a), s in zip(found, score, strict=True)]
+            cols = [batch.column(1), *(pa.array(x, pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], [r for r, _ in found], verdict)), batch.column(2)]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "path", "rule", "verdict", "score"])
 
     return work
@@ -222,15 +189,24 @@ def judge(pages: DataFrame, rules=RULES, *, url: str = "url", page_id: str = "pa
     store.prepare(spark)
     own = Rules(rules)
     rows = pages.select(F.col(url).cast("string"), F.col(page_id).cast("long").alias("page_id"))
-    sums = (F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    counts = rows.mapInArrow(_count(own, order), "bucket int, allow long, block long").groupBy("bucket").agg(*sums)
-    models = Models(counts.toArrow(), order)
-    shared = spark.sparkContext.broadcast(models)
+    # Equal URLs are read once, with their number.
+    urls = rows.where("url <> ''").groupBy("url").agg(F.count("*").alias("n")).select("url", F.xxhash64("url").alias("uid"), "n")
+    windows = store.keep(urls.mapInArrow(_windows(own, order), "uid long, part string, n long, length long, window long"), "urls")
+    parts = {r.part for r in windows.select("part").distinct().collect()}
+    ready = {"allow now", "block now"} <= parts
     threshold = 0.0
-    if models.ready:
-        scores = rows.mapInArrow(_histogram(own, shared), "bin int, allow long, block long").groupBy("bin").agg(*sums)
-        threshold = best_threshold(scores.toArrow())
-    return rows.mapInArrow(_judge(own, shared, threshold), "page_id long, host string, path string, rule string, verdict string, score double")
+    if ready:
+        # Plain tables meet: a common window is split over tasks.
+        each = windows.hint("merge").join(window_scores(windows, order), "window")
+        scores = store.keep(each.groupBy("uid").agg((F.sum("score") / F.first("length")).alias("score"), F.first("part").alias("part"), F.first("n").alias("n")), "scores")
+        bins = int(2 * LIMIT / STEP) + 1
+        at = F.least(F.greatest(F.round((F.col("score") + LIMIT) / STEP), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")
+        sums = [F.sum(F.when(F.col("part") == f"{a} later", F.col("n")).otherwise(0)).alias(a) for a in ("allow", "block")]
+        threshold = best_threshold(scores.where("part like '% later'").groupBy(at).agg(*sums).toArrow())
+        rows = rows.withColumn("uid", F.xxhash64("url")).hint("merge").join(scores.select("uid", "score"), "uid", "left").select("url", "page_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    else:
+        rows = rows.withColumn("score", F.lit(0.0))
+    return rows.mapInArrow(_judge(own, ready, threshold), "page_id long, host string, path string, rule string, verdict string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
