@@ -140,3 +140,10 @@ def test_packing_takes_whole_turns(spark, sf, name):
     for r in sorted(Q.QUERIES[name](spark, sf).collect()):
         got.setdefault(r.conv_id, []).append(r.text)
     assert got == {i: _brute_parts(x, name) for i, x in turns.items()}
+
+
+def test_sentences_of_texts_of_any_length(spark, sf):
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want |= {(r.doc_id, i): x for i, x in enumerate(filter(None, re.split(r"(?<=[.!?]) ", " ".join((r.text or "").split()))))}
+    assert {(r.doc_id, r.sentence_index): r.text for r in Q.sentence_split(spark, sf).collect()} == want
