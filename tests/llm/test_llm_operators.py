@@ -544,6 +544,33 @@ def test_line_dedup_spares_many_copies(spark):
     assert line_dedup.drop_recurring_lines(docs(spark, texts)).where("n_removed > 0").isEmpty()
 
 
+NAMES = [a + b for a in ("an", "ber", "cor", "dun", "el", "fir") for b in ("a", "ot", "ius", "wick", "sa")]
+
+
+def test_line_dedup_many_fields(spark):
+    r = random.Random(3)
+    own = lambda i: re.sub("[0-9]", "", prose(9, 700 + i)) + " " + "".join("abcdefghij"[int(d)] for d in str(i))
+    unique = lambda i, c: c + "".join("abcdefghij"[int(d)] for d in f"{i:03}")
+    texts = []
+    for i in range(120):
+        # Two fields whose values never come twice, and two whose values are few, so that no pair of them is rare.
+        free = f"Article published by {unique(i, 'n')} under {unique(i, 't')} today"
+        few = f"Filed in section {r.choice(NAMES[:9])} by {r.choice(NAMES[9:18])} this week"
+        # As many leading words in common, but all else is prose.
+        texts.append("\n".join([own(i), free, few, f"It is a {own(i)}"]))
+    for row in line_dedup.drop_recurring_lines(docs(spark, texts)).collect():
+        lines = texts[row.doc_id].split("\n")
+        assert row.kept_text == "\n".join([lines[0], lines[3]])
+
+
+def test_line_dedup_long_lines(spark):
+    long = prose(60_000, 5)
+    texts = [f"{long}\nown {'abcdefghijklm'[i]}\nfoot of all" for i in range(12)] + ["x" * 1_000_000 + "\nfoot of all", " " * 1_000_000]
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs(spark, texts)).collect()}
+    # Twelve texts that are mostly one line are near copies, so nothing of theirs recurs.
+    assert [got[i].n_removed for i in range(14)] == [0] * 14 and got[13].kept_text == texts[13]
+
+
 def test_native_plan_has_no_python(table):
     plan = line_dedup.drop_recurring_lines(table)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -1,14 +1,18 @@
 """Removal of lines whose template recurs across documents.  DataFrame functions only.
 
 Lines go down a tree of fixed depth: the number of tokens, then the first DEPTH tokens.  A token with a digit is a
-variable field, written `<*>` from the start.  In a leaf, a place behind the leading tokens becomes a variable field
-too if the templates that differ there, and nowhere else, are MIN_VARIANTS or more; a token hashed with its place and
-taken out of the exclusive-or of all of a line's tokens gives every "all but this place" in one pass.
+variable field, written `<*>` from the start.  Behind the leading tokens a leaf generalises in two steps, over the
+templates that do not recur as they are:
 
-A template recurs if it stands in MIN_TEXTS or more different texts, wherever it stands in them and whatever stands
-beside it.  Near copies count as one text: a text of whose characters NEAR or more lie in lines that MIN_TEXTS texts
-hold goes by the longest such line, which its near copies share, instead of by its own digest.  All lines of recurring
-templates go.
+1. A token that fewer than MIN_TEXTS texts have at its place in the leaf is written `<*>`, in any number of places up
+   to one in MASKED of the template's tokens; beyond that the template stays as it was.
+2. Templates that are equal now, or equal but for one place (whatever stands there), form a group.  A token hashed
+   with its place and taken out of the exclusive-or of all of a line's tokens gives every "all but this place".
+
+A template recurs if it, or a group of MIN_VARIANTS or more templates that it belongs to, stands in MIN_TEXTS or more
+different texts, wherever it stands in them and whatever stands beside it.  Near copies count as one text: a text of
+whose characters NEAR or more lie in lines that MIN_TEXTS texts hold goes by the longest such line (the first of equals),
+which its near copies share, instead of by its own digest.  All lines of recurring templates go.
 
 Counting is an aggregate that tasks combine before the shuffle; rows carry hashes, not lines.  The texts are shuffled
 once, by row.
@@ -24,6 +28,8 @@ from vellum.llm import store
 DEPTH = 3
 MIN_TEXTS = 10
 MIN_VARIANTS = 3
+#: One in so many of a template's tokens may become a variable field because it is rare at its place.
+MASKED = 3
 #: Share of a text in common lines from which it counts as a near copy.
 NEAR = 0.8
 
@@ -64,7 +70,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 def near_copies(often: DataFrame) -> DataFrame:
     """(digest, copy) of the texts that are mostly common lines; `often` has the lines that enough texts hold."""
     once = often.groupBy("digest", "pos").agg(F.first("total").alias("total"), F.first("size").alias("size"), F.first("tid").alias("tid"))
-    own = once.groupBy("digest").agg(F.first("total").alias("total"), F.sum("size").alias("common"), F.max(F.struct("size", "tid")).alias("longest"))
+    own = once.groupBy("digest").agg(F.first("total").alias("total"), F.sum("size").alias("common"), F.max(F.struct("size", -F.col("pos"), "tid")).alias("longest"))
     return own.where(F.col("common") >= NEAR * F.col("total")).select("digest", F.xxhash64("longest.tid").alias("copy"))
 
 
@@ -88,17 +94,36 @@ def recurring(rows: DataFrame, lines: DataFrame, min_texts: int, min_variants: i
     )
     split = rows.select(F.explode(F.transform(F.split("text", "\n", -1), template)).alias("t")).where("t <> ''").withColumn("leaf", _leaf(F.col("t")))
     some = split.join(leaves, "leaf", "left_semi").select("leaf", "t").distinct().withColumn("tid", F.xxhash64("t"))
-    tokens = F.transform(F.split("t", " "), lambda x, i: F.xxhash64(i, x))
-    placed = some.select("leaf", "tid", tokens.alias("h")).withColumn("all", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
-    but_one = placed.select("leaf", "tid", "all", F.posexplode("h").alias("place", "own")).where(F.col("place") >= DEPTH).select("leaf", "tid", "place", F.col("all").bitwiseXOR(F.col("own")).alias("rest"))
-    but_one = store.keep(but_one.join(rare.select("leaf", "tid"), ["leaf", "tid"]), "variants")
+    groups = _generalised(some.join(rare.select("tid", "texts"), "tid"), min_texts)
     by = ["leaf", "place", "rest"]
-    general = but_one.groupBy(*by).agg(F.count("*").alias("variants")).where(F.col("variants") >= min_variants).select(*by)
-    but_one = store.keep(but_one.join(general, by, "left_semi"), "several")
-    texts = _texts(lines.join(but_one.select("tid").distinct(), "tid", "left_semi"), copies)
-    general = but_one.join(texts.select("tid", "own"), "tid").groupBy(*by).agg(F.count_distinct("own").alias("n"))
+    several = groups.groupBy(*by).agg(F.count("*").alias("variants"), F.sum("texts").alias("texts"))
+    several = several.where((F.col("variants") >= min_variants) & (F.col("texts") >= min_texts)).select(*by)
+    groups = store.keep(groups.drop("texts").join(several, by, "left_semi"), "several")
+    texts = _texts(lines.join(groups.select("tid").distinct(), "tid", "left_semi"), copies)
+    general = groups.join(texts.select("tid", "own"), "tid").groupBy(*by).agg(F.count_distinct("own").alias("n"))
     general = store.keep(general.where(F.col("n") >= min_texts).select(*by), "fields")
-    return exact.unionByName(but_one.join(general, by, "left_semi").select("tid")).distinct()
+    return exact.unionByName(groups.join(general, by, "left_semi").select("tid")).distinct()
+
+
+def _generalised(some: DataFrame, min_texts: int) -> DataFrame:
+    """(leaf, tid, texts, place, rest) for the templates (leaf, t, tid, texts): `rest` is the template with its rare
+    tokens as `<*>`, whole (place -1) and without each place behind the leading ones."""
+    tokens = F.split("t", " ")
+    each = F.posexplode(F.transform(F.slice(tokens, DEPTH + 1, F.size(tokens)), lambda x, i: F.xxhash64(i + DEPTH, x)))
+    placed = some.where(F.size(tokens) > DEPTH).select("leaf", "tid", "texts", F.size(tokens).alias("size"), each.alias("place", "own")).withColumn("place", F.col("place") + DEPTH)
+    placed = store.keep(placed, "tokens")
+    common = placed.groupBy("leaf", "own").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_texts).select("leaf", "own", F.lit(True).alias("common"))
+    # A token that very many templates of one leaf share can be split over tasks: two plain tables meet.
+    known = placed.join(store.keep(common, "common"), ["leaf", "own"], "left")
+    known = known.select("leaf", "tid", "texts", "size", "place", "own", F.when(F.col("common"), F.col("own")).otherwise(F.xxhash64("place", F.lit("<*>"))).alias("masked"))
+    one = known.groupBy("leaf", "tid").agg(
+        F.first("texts").alias("texts"), (MASKED * F.count_if(F.col("own") != F.col("masked")) <= F.first("size")).alias("enough"), F.collect_list(F.struct("place", "own", "masked")).alias("x")
+    )
+    chosen = F.transform("x", lambda x: F.struct(x["place"].alias("place"), F.when(F.col("enough"), x["masked"]).otherwise(x["own"]).alias("own")))
+    all_ = F.aggregate("chosen", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["own"]))
+    whole = F.array(F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("own")))
+    out = one.withColumn("chosen", chosen).withColumn("all", all_).select("leaf", "tid", "texts", "all", F.explode(F.concat("chosen", whole)).alias("x"))
+    return store.keep(out.select("leaf", "tid", "texts", "x.place", F.col("all").bitwiseXOR(F.col("x.own")).alias("rest")), "variants")
 
 
 def drop_recurring_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_texts: int = MIN_TEXTS, min_variants: int = MIN_VARIANTS) -> DataFrame:
@@ -141,35 +166,54 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH docs AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
-), l AS (
-  SELECT doc_id, text, ls, i, array_to_string(list_transform(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS t
-  FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs)
-), a AS (
-  SELECT *, coalesce(lag(t) OVER w, chr(1)) || chr(2) || coalesce(lead(t) OVER w, chr(1)) AS around, string_split(t, ' ') AS tok
-  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), each AS (
+  SELECT text, ls, i, array_to_string(list_transform(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS t
+  FROM (SELECT text, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT DISTINCT text, ls FROM docs))
 ), lines AS (
-  SELECT *, CAST(len(tok) AS VARCHAR) || chr(2) || array_to_string(tok[1:3], ' ') AS leaf FROM a WHERE t <> ''
+  SELECT text, i, t, string_split(t, ' ') AS tok, CAST(len(string_split(t, ' ')) AS VARCHAR) || chr(2) || array_to_string(string_split(t, ' ')[1:3], ' ') AS leaf FROM each WHERE t <> ''
 ), stats AS (
-  SELECT leaf, t, any_value(tok) AS tok, count(DISTINCT text) AS texts, count(DISTINCT around) AS arounds FROM lines GROUP BY leaf, t
+  SELECT leaf, t, any_value(tok) AS tok, count(DISTINCT text) AS texts FROM lines GROUP BY leaf, t
+), often AS (
+  SELECT t FROM stats WHERE texts >= 10
+), copies AS (
+  SELECT text, first(t ORDER BY length(t) DESC, i) FILTER (t IN (SELECT t FROM often)) AS longest
+  FROM lines GROUP BY text HAVING sum(length(t)) FILTER (t IN (SELECT t FROM often)) >= CAST(0.8 AS DOUBLE) * sum(length(t))
+), owned AS (
+  SELECT DISTINCT t, CASE WHEN longest IS NULL THEN lines.text ELSE chr(2) || longest END AS own FROM lines LEFT JOIN copies ON lines.text = copies.text
 ), exact AS (
-  SELECT * FROM stats WHERE texts >= 10 AND arounds >= 10 AND 2 * arounds >= texts
+  SELECT t FROM owned WHERE t IN (SELECT t FROM often) GROUP BY t HAVING count(DISTINCT own) >= 10
 ), rare AS (
   SELECT * FROM stats ANTI JOIN exact ON stats.t = exact.t
 ), leaves AS (
   SELECT leaf FROM rare GROUP BY leaf HAVING count(*) >= 3 AND sum(texts) >= 10
-), but_one AS (
-  SELECT leaf, t, texts, arounds, p, array_to_string(tok[1:p - 1], ' ') || chr(2) || array_to_string(tok[p + 1:], ' ') AS rest
+), placed AS (
+  SELECT leaf, t, texts, len(tok) AS size, p, tok[p] AS x
   FROM (SELECT *, unnest(range(4, len(tok) + 1)) AS p FROM rare WHERE leaf IN (SELECT leaf FROM leaves))
+), common AS (
+  SELECT leaf, p, x FROM placed GROUP BY leaf, p, x HAVING sum(texts) >= 10
+), masked AS (
+  SELECT placed.*, CASE WHEN common.x IS NULL THEN '<*>' ELSE placed.x END AS m
+  FROM placed LEFT JOIN common ON placed.leaf = common.leaf AND placed.p = common.p AND placed.x = common.x
+), chosen AS (
+  SELECT leaf, t, texts, CASE WHEN 3 * count(*) FILTER (m <> x) <= any_value(size) THEN list(m ORDER BY p) ELSE list(x ORDER BY p) END AS c
+  FROM masked GROUP BY leaf, t, texts
+), grouped AS (
+  SELECT leaf, t, texts, 0 AS p, array_to_string(c, ' ') AS rest FROM chosen
+  UNION ALL
+  SELECT leaf, t, texts, p, array_to_string(c[1:p - 1], ' ') || chr(2) || array_to_string(c[p + 1:], ' ') FROM (SELECT *, unnest(range(1, len(c) + 1)) AS p FROM chosen)
+), several AS (
+  SELECT leaf, p, rest FROM grouped GROUP BY leaf, p, rest HAVING count(*) >= 3 AND sum(texts) >= 10
+), members AS (
+  SELECT grouped.* FROM grouped SEMI JOIN several ON grouped.leaf = several.leaf AND grouped.p = several.p AND grouped.rest = several.rest
 ), fields AS (
-  SELECT leaf, p, rest FROM but_one GROUP BY leaf, p, rest
-  HAVING count(*) >= 3 AND sum(texts) >= 10 AND sum(arounds) >= 10 AND 2 * sum(arounds) >= sum(texts)
+  SELECT leaf, p, rest FROM members JOIN owned USING (t) GROUP BY leaf, p, rest HAVING count(DISTINCT own) >= 10
 ), gone AS (
-  SELECT t FROM exact UNION SELECT t FROM but_one SEMI JOIN fields ON but_one.leaf = fields.leaf AND but_one.p = fields.p AND but_one.rest = fields.rest
-), per_doc AS (
-  SELECT doc_id, count(*) FILTER (t IN (SELECT t FROM gone)) AS n_removed, string_agg(ls[i], chr(10) ORDER BY i) FILTER (t NOT IN (SELECT t FROM gone)) AS kept
-  FROM l GROUP BY doc_id
+  SELECT t FROM exact UNION SELECT t FROM members SEMI JOIN fields ON members.leaf = fields.leaf AND members.p = fields.p AND members.rest = fields.rest
+), per_text AS (
+  SELECT text, count(*) FILTER (t IN (SELECT t FROM gone)) AS n_removed, string_agg(ls[i], chr(10) ORDER BY i) FILTER (t NOT IN (SELECT t FROM gone)) AS kept
+  FROM each GROUP BY text
 )
 SELECT docs.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-       CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS kept_text
-FROM docs LEFT JOIN per_doc USING (doc_id)
+       CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS kept_text
+FROM docs LEFT JOIN per_text ON docs.text = per_text.text
 """
