@@ -1,19 +1,22 @@
 """Best-fit packing of token sequences by minimum bin slack.
 
 Texts are tokenised, an end id is appended, and what is longer than the capacity is cut, so lengths are at most the
-capacity.  Packing needs only how many pieces of each length there are: a table of at most `capacity` rows, whatever
-the corpus.  On the driver a bin takes the longest piece left, and a subset-sum dynamic programme over the available
-lengths (one bit for each reachable sum) finds the fullest combination for the rest of the bin.  That pattern is used
-as often as the counts allow, and removed.  So the number of patterns depends on the capacity alone.
-
-Every piece then finds its bin from its rank among the pieces of its length.  A rank is the place within the task
-that wrote the piece, plus the pieces that earlier tasks wrote: no piece is sorted, and no length, however common,
-gathers in one task.
+capacity.  Packing needs only how many pieces of each length there are, a table of at most `capacity` rows.  A bin
+takes the longest piece left, and a subset-sum dynamic programme over the available lengths (one bit for each
+reachable sum) finds the fullest combination for the rest of the bin.  That pattern is used as often as the counts
+allow, and removed.  So the number of patterns depends on the capacity alone.
+
+This happens twice.  Whenever a task has cut POOL tokens it packs them, and closes only bins that are full to the last
+token; pieces that find no such bin, and short ones, wait for the next ones.  What waits when a task ends, or when it
+would fill the pool, is the rest.  The rest of all tasks is packed together, from its counts by length on the driver.  A piece of the rest finds its bin
+from its rank among the pieces of its length: the place within its task, plus the pieces that earlier tasks left.  No
+piece is sorted, no length, however common, gathers in one task, and full bins are never shuffled.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +29,11 @@ from pyspark.sql import functions as F
 from vellum.llm import kernels as K
 from vellum.llm import store
 
+#: Tokens that a task holds before it packs them; four bytes each.
+POOL = 2_000_000
+#: Pieces shorter than one part in so many of the capacity are kept for the rest: without them it would not fill up.
+FILLER = 4
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -38,6 +46,8 @@ class Encoder:
 
     #: Fixed value: how byte-level BPE splits a text before merging.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    #: White space so long that `tiktoken`, which backtracks over it, could run out of stack.
+    LONG_BLANK = re.compile(r"(?<!\s)\s{4096}")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,7 +79,7 @@ class Encoder:
         return tiktoken.Encoding("bpe", pat_str=Encoder.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or self.LONG_BLANK.search(text):
             return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
@@ -80,16 +90,70 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-_PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, place long, ids array<int>"
+_PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset int, part int, place long, ids array<int>"
+_PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+
+
+class Pool:
+    """Pieces of one task that wait for a bin, by length."""
+
+    def __init__(self, capacity: int, part: int):
+        self.capacity, self.part = capacity, part
+        self.waiting: dict[int, list[tuple]] = {}
+        self.tokens = self.bins = 0
+        self.left = np.zeros(capacity + 1, np.int64)
+
+    def add(self, row: tuple) -> None:
+        self.waiting.setdefault(row[3], []).append(row)
+        self.tokens += row[3]
+
+    def close_full(self) -> list[tuple]:
+        """The pieces of all bins that can be filled to the last token, each with its sequence and offset."""
+        out: list[tuple] = []
+        for lengths, times in minimum_bin_slack({k: len(v) for k, v in self.waiting.items() if FILLER * k >= self.capacity}, self.capacity):
+            if sum(lengths) < self.capacity:
+                continue
+            for _ in range(times):
+                # Numbers from 0 up, apart from those of other tasks; the rest's are below 0.
+                at, sequence = 0, self.part << 32 | self.bins
+                self.bins += 1
+                for length in lengths:
+                    row = self.waiting[length].pop()
+                    out.append((*row[:5], sequence, at, self.part, None, row[5]))
+                    at += length
+        self.waiting = {k: v for k, v in self.waiting.items() if v}
+        self.tokens = sum(k * len(v) for k, v in self.waiting.items())
+        return out
+
+    def leave(self) -> list[tuple]:
+        """All that waits, each with its place among the pieces of its length that this task leaves."""
+        out = []
+        for length, rows in self.waiting.items():
+            out += [(*row[:5], None, None, self.part, int(self.left[length]) + i, row[5]) for i, row in enumerate(rows)]
+            self.left[length] += len(rows)
+        self.waiting, self.tokens = {}, 0
+        return out
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(_PIECE_TYPES)
+    names = [c.split()[0] for c in _PIECES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PIECE_TYPES, strict=True)], names)
+
+
+#: Pieces that leave a task at once.
+OUT_ROWS = 2_000
+
 
+def _cut(path: str, capacity: int, end_id: int, with_ids: bool, pool_tokens: int):
+    def tables(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), OUT_ROWS):
+            yield _table(rows[i : i + OUT_ROWS])
 
-def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        part = TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
+        pool = Pool(capacity, TaskContext.get().partitionId())
         for batch in batches:
-            rows: list[tuple] = []
             for text, doc in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(enc.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 total = len(ids)
@@ -97,12 +161,14 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
                 cuts = [0, *range(total % capacity or min(total, capacity), total + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     own = ids[a:b]
-                    rows.append((doc, piece, a, b - a, zlib.crc32(own.tobytes()), part, seen[b - a], own.astype(np.int32) if with_ids else None))
-                    seen[b - a] += 1
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-            names = [c.split()[0] for c in _PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                    pool.add((doc, piece, a, b - a, zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None))
+                if pool.tokens >= pool_tokens:
+                    yield from tables(pool.close_full())
+                    # Lengths that do not complement each other go to the rest, else they would fill the pool.
+                    if 2 * pool.tokens >= pool_tokens:
+                        yield from tables(pool.leave())
+        # Not packed here: these fill up what the other tasks' rest leaves open.
+        yield from tables(pool.leave())
 
     return work
 
@@ -177,32 +243,34 @@ def _assign(table):
             at = rank - row[:, 1]
             bin_, slot = row[:, 3] + at // np.maximum(row[:, 2], 1), at % np.maximum(row[:, 2], 1)
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
-            out = {"length": pa.array(length), "sequence_id": pa.array(bin_), "offset": pa.array(row[:, 4] + slot * length)}
+            out = {"length": pa.array(length), "sequence_id": pa.array(-1 - bin_), "offset": pa.array(row[:, 4] + slot * length)}
             yield pa.RecordBatch.from_arrays([out[n] if n in out else batch.column(n) for n in names], names)
 
     return work
 
 
-def pack(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", capacity: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id", capacity: int = 1024, end_id: int = 2, with_ids: bool = True, pool_tokens: int = POOL) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids (null unless `with_ids`).
 
     `tokenizer` is the path of a `tokenizers` JSON file that every executor can read.  A null text is empty: its only
     id is `end_id`.  Texts of more than `capacity` ids are cut into pieces of `capacity`, the first one shorter.
-    sequence_id numbers the packed sequences from 0; offsets in a sequence are gapless from 0.  Repeated rows are
-    packed each for itself; an empty table gives no rows; only `text` and `doc_id` are read.
+    sequence_id tells the packed sequences apart (numbers of any size and sign); offsets in a sequence are gapless
+    from 0.  Repeated rows are packed each for itself; an empty table gives no rows; only `text` and `doc_id` are read.
     """
     spark = docs.sparkSession
     store.prepare(spark)
     rows = docs.select(F.col(text).cast("string"), F.col(doc_id).cast("long"))
-    pieces = store.keep(rows.mapInArrow(_cut(tokenizer, capacity, end_id, with_ids), _PIECES), "pieces")
-    sizes = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    pieces = store.keep(rows.mapInArrow(_cut(tokenizer, capacity, end_id, with_ids, pool_tokens), _PIECES), "pieces")
+    names = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"), "ids"]
+    full, rest = pieces.where("sequence_id is not null").select(*names), pieces.where("sequence_id is null")
+    sizes = rest.groupBy("part", "length").agg(F.count("*").alias("n"))
     by = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = store.keep(sizes.withColumn("before", F.coalesce(F.sum("n").over(by), F.lit(0))), "before")
     counts = {r.length: r.n for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(_places(minimum_bin_slack(counts, capacity)))
-    return pieces.join(before.drop("n"), ["part", "length"]).mapInArrow(
+    return full.unionByName(rest.join(before.drop("n"), ["part", "length"]).mapInArrow(
         _assign(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>"
-    )
+    ))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
