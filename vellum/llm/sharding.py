@@ -2,9 +2,10 @@
 
 Records are hashed into a fixed number of slots, thousands of them, and only slots are ever placed: a versioned map
 names the shard of every slot.  Version 1 deals the slots out evenly.  Bytes are then aggregated per slot, and the
-map is edited: slots move (or change places) between the fullest and the emptiest shard until the sizes are near
-equal, and the edited map is stored as the next version.  A new shard is another edit: it takes slots, and so records,
-only into itself.
+newest stored map is edited: slots move (or change places) between the fullest and the emptiest shard until the sizes
+are near equal, and the edited map is stored as the next version.  So a map that is balanced already is kept as it is,
+and later runs over a grown table move few slots.  A new shard is another edit: it takes slots, and so records, only
+into itself.
 
 The hash takes in the text as well as the id, so copies of a text, or rows that share an id, spread over the slots.
 """
@@ -44,7 +45,7 @@ class SlotMap:
         shard_of = self.shard_of.copy()
         load = np.bincount(shard_of, weights=sizes, minlength=self.shards).astype(np.int64)
         stuck: set[tuple[int, int]] = set()
-        while True:
+        while load.max() - load.min() > max(1, sizes.sum() // (self.shards * 10_000)):
             order = np.argsort(load, kind="stable")
             pair = next(((int(h), int(low)) for low in order for h in order[::-1] if load[h] > load[low] and (int(h), int(low)) not in stuck), None)
             if pair is None:
@@ -76,8 +77,6 @@ class SlotMap:
             load[high] -= moved
             load[low] += moved
             stuck = {p for p in stuck if high not in p and low not in p}
-            if load.max() - load.min() <= max(1, sizes.sum() // (self.shards * 10_000)):
-                break
         return replace(self, version=self.version + 1, shard_of=shard_of)
 
     def grow(self, sizes: np.ndarray) -> SlotMap:
@@ -98,15 +97,24 @@ class SlotMap:
         return spark.createDataFrame(rows, "version int, shards int, vslot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the stored map; earlier versions stay."""
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Add this version to the stored map; earlier versions stay.  An existing version is never written again."""
+        self.frame(spark).drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
+
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The stored versions that were written to the end, in order; none if there is no map under `path`."""
+        return sorted(int(p.rpartition("=")[2]) for p in store.folders(spark, path, "version=*") if store.exists(spark, f"{p}/_SUCCESS"))
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        """A version of a stored map, the newest if none is named.  Its rows are as many as slots."""
-        all_ = spark.read.parquet(path)
-        version = version or all_.agg(F.max("version")).first()[0]
-        rows = all_.where(F.col("version") == version).orderBy("vslot").collect()
+        """A version of a stored map, the newest if none is named.  Its rows are as many as slots.
+
+        A path without a map, or a version that it does not have, is a ValueError."""
+        have = SlotMap.versions(spark, path)
+        if not have or version not in (None, *have):
+            raise ValueError(f"{path}: no slot map" if not have else f"{path}: no version {version} of the slot map; there are {have}")
+        version = have[-1] if version is None else version
+        rows = spark.read.schema("shards int, vslot int, shard int").parquet(f"{path}/version={version}").orderBy("vslot").collect()
         return SlotMap(version, rows[0].shards, np.array([r.shard for r in rows]))
 
 
@@ -137,13 +145,37 @@ def _slots(slots: int):
     return work
 
 
+def _edit(spark: SparkSession, path: str, shards: int, slots: int, sizes: np.ndarray) -> SlotMap:
+    """The map under `path` for so many shards and these sizes of slots, every edit stored."""
+    if SlotMap.versions(spark, path):
+        now = SlotMap.load(spark, path)
+        if len(now.shard_of) != slots or now.shards > shards:
+            raise ValueError(f"{path}: a map of {len(now.shard_of)} slots and {now.shards} shards is not one of {slots} and {shards}")
+    else:
+        now = SlotMap.even(shards, slots)
+        now.save(spark, path)
+    while now.shards < shards:
+        now = now.grow(sizes)
+        now.save(spark, path)
+    edited = now.rebalance(sizes)
+    if (edited.shard_of == now.shard_of).all():
+        return now
+    edited.save(spark, path)
+    return edited
+
+
 def shard(docs: DataFrame, shards: int, *, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot and map_version.
 
     The size of a record is its text's UTF-8 bytes (null: none) plus 8.  The law is `bytes`: shards get near equal
     sizes, as near as whole slots, and so whole records, allow.  slot is the record's place in its shard, gapless
-    from 0; grown_shard is null.  Both versions of the map are stored under `map_path` (a new path in the shared
-    folder by default).  Repeated rows get places of their own; an empty table gives no rows.  Only `text` and
+    from 0; grown_shard is null.  Equal texts of different ids are spread: one group of them may hold more than a
+    shard's part of all bytes.
+
+    The map under `map_path` is loaded, its newest version edited and the edit stored as the next one; if nothing
+    moves, no version is added.  Without a map there, version 1 is the even one.  It must have as many slots; if it has
+    fewer shards, it grows first, and more are a ValueError.  By default the map lies in the shared folder and goes
+    when the driver ends.  Repeated rows get places of their own; an empty table gives no rows.  Only `text` and
     `doc_id` are read.
     """
     spark = docs.sparkSession
@@ -155,11 +187,8 @@ def shard(docs: DataFrame, shards: int, *, text: str = "text", doc_id: str = "do
     sizes, counts = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
     for r in per_slot:
         sizes[r.vslot], counts[r.vslot] = r.bytes, r.n
-    first = SlotMap.even(shards, slots)
-    edited = first.rebalance(sizes)
     path = map_path or store.new_path(spark, "slot-map")
-    first.save(spark, path)
-    edited.save(spark, path)
+    edited = _edit(spark, path, shards, slots, sizes)
     # Slots of one shard stand one after another; in a slot the tasks do, by number.
     order = np.argsort(edited.shard_of, kind="stable")
     total = np.cumsum(counts[order]) - counts[order]

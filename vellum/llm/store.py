@@ -35,13 +35,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     """Delete what an operator kept; nothing happens once the session is gone."""
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        system, target = _file_system(spark, path)
+        system.delete(target, True)
     except Exception:  # noqa: BLE001 - the session has ended; the folder's owner cleans it
         return
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at `path`, on any store that Spark reads."""
+    system, target = _file_system(spark, path)
+    return bool(system.exists(target))
+
+
+def folders(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Paths of what matches `pattern` in the folder `path`."""
+    system, target = _file_system(spark, f"{path}/{pattern}")
+    return [str(f.getPath().toString()) for f in system.globStatus(target) or []]
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: its lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -57,9 +73,10 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package, and keep Arrow batches small."""
+    """Ship the package, and keep Arrow batches small: the session's own limit stays where it is lower."""
     ship(spark)
-    if int(str(spark.conf.get(_BATCH)).rstrip("b")) > BATCH_BYTES:
+    now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(_BATCH))))
+    if now <= 0 or now > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
@@ -67,5 +84,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Input bytes for one partition of a shuffle whose number of partitions an operator has to name.
+SHUFFLE_BYTES = 32_000_000
+
+
+def partitions(spark: SparkSession, rows: DataFrame, times: int = 1) -> int:
+    """Partitions for a shuffle of about `times` what `rows` holds: the session's number, or more where that is little."""
+    estimate = times * int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-estimate // SHUFFLE_BYTES), MAX_PARTITIONS))
+
+
+#: Where sizes are unknown Spark's estimate can be enormous.
+MAX_PARTITIONS = 100_000
