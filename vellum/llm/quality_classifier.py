@@ -79,7 +79,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mark = np.zeros(FEATURES, bool)
             mark[f] = True
             rows.append(np.packbits(mark).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.binary())], ["label", "place", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(rows, pa.binary())], ["label", "place", "id", "bits"])
 
 
 def log_count_ratios(counts: pa.Table) -> np.ndarray:
@@ -172,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     """Fit on the labelled rows that are not held out.
 
     A doc_id with several labels takes their mean, rounded (ties up); null ids and labels are left out.  The sample
-    takes the `max_fit_rows` rows of each class with the least hash of their id.  Without rows of both classes the
-    score of every text is the share of good ones, with one added to either count.
+    takes the `max_fit_rows` ids of each class with the least hash, and of each id one text (that with the least hash),
+    however often its rows repeat.  Counts and ratios take all rows, shares of the classes all ids.  Without both
+    classes the score of every text is the share of good ones, with one added to either count.
     """
     spark = docs.sparkSession
     store.prepare(spark)
@@ -187,16 +188,20 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("id")).join(ids, "id")
     counts = rows.select("text", "label").mapInArrow(_count, "feature int, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratios = log_count_ratios(counts.toArrow())
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = docs.select(F.col(doc_id).cast("long").alias("id")).distinct().join(ids, "id")
+    sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         good, every = sizes.get(1, 0), sum(sizes.values())
         return Model(np.zeros(FEATURES), 0.0, 0.0, float(np.log((good + 1) / (every - good + 1))))
     place = F.xxhash64(F.col("id"), F.lit(9))
-    known = docs.select(F.col(doc_id).cast("long").alias("id")).distinct().join(ids, "id")
     parts = [known.where(F.col("label") == y).select("id", "label", place.alias("place")).orderBy("place", "id").limit(max_fit_rows) for y in (0, 1)]
     sample = store.keep(parts[0].unionByName(parts[1]), "sample")
     chosen = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("id")).join(F.broadcast(sample), "id")
-    got = chosen.select("text", "label", "place").mapInArrow(_bits, "label int, place long, bits binary").orderBy("place", "label", "bits").limit(4 * max_fit_rows).toArrow()
+    # One row an id: the sample is bounded by its ids, and an id that very many rows repeat weighs as much as any other.
+    # Tasks find the least hash before the shuffle; what passes it is a table of at most as many rows as ids.
+    least = F.broadcast(store.keep(chosen.groupBy("id").agg(F.min(F.xxhash64("text")).alias("least")), "least"))
+    one = chosen.join(least, "id").where(F.xxhash64("text") == F.col("least")).dropDuplicates(["id"])
+    got = one.select("text", "label", "place", "id").mapInArrow(_bits, "label int, place long, id long, bits binary").orderBy("place", "id").toArrow()
     features = [np.flatnonzero(np.unpackbits(np.frombuffer(x.as_py(), np.uint8))).astype(np.int32) for x in got["bits"]]
     y = got["label"].to_numpy()
     # Rows go in turn, within each class, to the part that calibrates.
@@ -208,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     w = dual_coordinate_descent([features[i] for i in fit], y[fit], ratios)
     test = np.flatnonzero(apart) if len(set(y[apart].tolist())) == 2 else np.arange(len(y))
     margins = np.array([w[features[i]] @ _scaled(features[i], ratios) + w[-1] for i in test])
-    # The sample has the classes in other shares than the rows: the curve is shifted to the rows' shares.
+    # The sample has the classes in other shares than all ids: the curve is shifted to their shares.
     slope, shift = calibrate(margins, y[test])
     shift += np.log(sizes[1] / sizes[0]) - np.log((y[test] == 1).sum() / (y[test] == 0).sum())
     return Model(w[:-1] * ratios, float(w[-1]), slope, float(shift))
