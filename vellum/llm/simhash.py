@@ -181,7 +181,7 @@ def links(distinct: DataFrame, *, distance: int = 3, bucket: int = BUCKET) -> Da
     """Links (a, b) between distinct fingerprints (column fp) at `distance` or less that join what all such pairs join."""
     if not 0 <= distance <= 3:
         raise ValueError("the join keys hold for a distance of at most 3")
-    n = store.partitions(distinct.sparkSession)
+    n = store.partitions(distinct.sparkSession, distinct, 2 * SEGMENTS)
     keys = F.explode(F.array(*[F.struct(F.lit(s).cast("int").alias("start"), F.lit(_signed(m)).alias("mask")) for s, m in level_masks()]))
     rows = distinct.select("fp", keys.alias("k")).select(F.col("k.start").alias("start"), F.col("k.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("k.mask")).alias("val"), "fp")
     found = []

@@ -7,8 +7,9 @@ inside a repeated window goes.  How the repeated windows are found:
    windows, some pair of covered places is aligned in both.  So only the `window - period + 1` words at covered
    places are hashed, about a quarter of all places, and an anchor that occurs twice is kept.
 2. Anchors extend to the windows around them: a window without a repeated anchor cannot be repeated and is never
-   looked at again.  The kept anchors reach the executors as a bitmap of bounded size; a false hit there only adds
-   a candidate.
+   looked at again.  While the kept anchors are few, they reach the executors as a bitmap of bounded size; a false hit
+   there only adds a candidate.  Beyond MAX_ANCHORS the covered places of all texts meet the kept anchors in a join on
+   the hash instead, and come back to their texts by row key.  The results are the same.
 3. Candidate windows are compared by hash over the corpus.  Each task first merges its own equal windows, so that
    a passage in a third of all texts gives one row per task and not one per text.
 4. The repeated ranges meet their texts again by row key, and the words are removed.
@@ -34,8 +35,8 @@ from vellum.llm import store
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 
-#: The bitmap of repeated anchors has at most 2 ** MAX_BITS bits (32 MB), whatever the size of the corpus.
-MAX_BITS = 28
+#: Repeated anchors that go to the executors as a bitmap: 16 bits each, so 32 MB.  More are joined.
+MAX_ANCHORS = 1 << 24
 #: Windows that a task holds before it merges equal ones and hands them on.
 MERGE_ROWS = 2_000_000
 
@@ -88,8 +89,8 @@ def _anchor_counts(size: int, period: int, cover: tuple[int, ...]):
 
 
 def _bitmap(repeated: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """Two bits for each repeated anchor, in a bitmap of bounded size."""
-    bits = min(MAX_BITS, max(16, int(32 * max(n, 1)).bit_length()))
+    """Two bits for each of n repeated anchors, in a bitmap of 16 to 32 bits an anchor."""
+    bits = max(16, int(16 * max(n, 1) - 1).bit_length())
     two = F.explode(F.array(F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF & ((1 << bits) - 1)))))
     words = (
         repeated.select(two.alias("b"))
@@ -102,40 +103,84 @@ def _bitmap(repeated: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return bitmap.view(_U64), bits
 
 
+def _anchor_places(size: int, period: int, cover: tuple[int, ...]):
+    """(h, key, place) of every covered place."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b, buf, off in K.text_chunks(batch.column(0)):
+                words = K.Words(buf, off, K.NOT_BLANK)
+                at, g = _anchors(words, words.hashes(), size, period, cover)
+                doc = words.doc[at]
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(keys[a:b][doc]), pa.array((at - words.first[doc]).astype(np.int64))], ["h", "key", "place"])
+
+    return work
+
+
+def _merged(h: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """(h, key, span, kind) rows: a window that the task has once (0); with no key, one that it has more often (1);
+    and, under a hash that spreads them, ranges of windows already known to be repeated (2)."""
+    order = np.argsort(h, kind="stable")
+    own_h, own_key, own_place = h, key, place
+    h, key, place = h[order], key[order], place[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[1:] == h[:-1]
+    many = same[:-1] | same[1:]
+    first = many & ~same[:-1]
+    # In the order of the texts, where keys repeat and compress well.
+    once = np.sort(order[~many])
+    k, p = key[many], place[many]
+    order = np.lexsort((p, k))
+    k, p = k[order], p[order]
+    # Equal rows of a table share key and places; one range for both is enough.
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+    k, p = k[fresh], p[fresh]
+    begin = np.ones(len(k), bool)
+    begin[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)
+    start = np.flatnonzero(begin)
+    last = np.append(start[1:], len(k)) - 1 if len(k) else start
+    spread = K.mix64(k[start].view(_U64) + p[start].astype(_U64)).view(np.int64)
+    n_once, n_first, n_runs = len(once), int(first.sum()), len(start)
+    hs = np.concatenate([own_h[once].view(np.int64), h[first].view(np.int64), spread])
+    keys = np.concatenate([own_key[once], np.zeros(n_first, np.int64), k[start]])
+    spans = np.concatenate([own_place[once] << 32 | 1, np.zeros(n_first, np.int64), p[start] << 32 | (p[last] - p[start] + 1)])
+    kind = np.concatenate([np.zeros(n_once, np.int8), np.ones(n_first, np.int8), np.full(n_runs, 2, np.int8)])
+    return pa.RecordBatch.from_arrays([pa.array(hs), pa.array(keys), pa.array(spans), pa.array(kind)], ["h", "key", "span", "kind"])
+
+
+class _Windows:
+    """The windows of a task around repeated anchors; equal ones are merged before they are handed on."""
+
+    def __init__(self, window: int, size: int):
+        self.window, self.reach, self.held = window, window - size, []
+
+    def add(self, words: K.Words, h: np.ndarray, at: np.ndarray, keys: np.ndarray) -> None:
+        """The windows that hold an anchor at one of the places `at`; keys are those of the texts."""
+        if not len(at):
+            return
+        # Windows around an anchor start up to `reach` words before it, in the same text.
+        near = K.covered(len(words), np.maximum(at - self.reach, 0), self.reach + 1)
+        near = np.flatnonzero(near[: max(0, len(words) - self.window + 1)] & K.within(words, self.window))
+        if len(near):
+            doc = words.doc[near]
+            self.held.append((K.window_hashes(h, self.window)[near], keys[doc], (near - words.first[doc]).astype(np.int64)))
+
+    def hand_on(self, least: int) -> Iterator[pa.RecordBatch]:
+        if self.held and sum(len(x[0]) for x in self.held) >= least:
+            yield _merged(*map(np.concatenate, zip(*self.held, strict=True)))
+            self.held = []
+
+
+_CANDIDATES = "h long, key long, span long, kind byte"
+
+
 def _candidates(bitmap, bits: int, window: int, size: int, period: int, cover: tuple[int, ...]):
-    """(h, key, span) rows: a window that its task has once; with a null key, one that it has more often; and, under
-    a hash that spreads them, ranges of windows already known to be repeated."""
-    reach = window - size
-
-    def merged(h: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(h, kind="stable")
-        h, key, place = h[order], key[order], place[order]
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[1:] == h[:-1]
-        many = same[:-1] | same[1:]
-        first = many & ~same[:-1]
-        once = ~many
-        k, p = key[many], place[many]
-        order = np.lexsort((p, k))
-        k, p = k[order], p[order]
-        # Equal rows of a table share key and places; one range for both is enough.
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-        k, p = k[fresh], p[fresh]
-        begin = np.ones(len(k), bool)
-        begin[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)
-        start = np.flatnonzero(begin)
-        last = np.append(start[1:], len(k)) - 1 if len(k) else start
-        spread = K.mix64(k[start].view(_U64) + p[start].astype(_U64)).view(np.int64)
-        n_once, n_first, n_runs = int(once.sum()), int(first.sum()), len(start)
-        hs = np.concatenate([h[once].view(np.int64), h[first].view(np.int64), spread])
-        keys = np.concatenate([key[once], np.zeros(n_first, np.int64), k[start]])
-        spans = np.concatenate([place[once] << 32 | 1, np.zeros(n_first, np.int64), p[start] << 32 | (p[last] - p[start] + 1)])
-        kind = np.concatenate([np.zeros(n_once, np.int8), np.ones(n_first, np.int8), np.full(n_runs, 2, np.int8)])
-        return pa.RecordBatch.from_arrays([pa.array(hs), pa.array(keys), pa.array(spans), pa.array(kind)], ["h", "key", "span", "kind"])
+    """The windows of the texts around anchors that the bitmap has."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, held = bitmap.value, []
+        have, found = bitmap.value, _Windows(window, size)
         for batch in batches:
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, buf, off in K.text_chunks(batch.column(0)):
@@ -145,31 +190,59 @@ def _candidates(bitmap, bits: int, window: int, size: int, period: int, cover: t
                 hit = np.ones(len(g), bool)
                 for probe in _probes(g, bits):
                     hit &= (have[probe >> _U64(6)] >> (probe & _U64(63))) & _U64(1) == 1
-                at = at[hit]
-                if not len(at):
-                    continue
-                # Windows around an anchor start up to `reach` words before it, in the same text.
-                near = K.covered(len(words), np.maximum(at - reach, 0), reach + 1)
-                near = np.flatnonzero(near[: max(0, len(words) - window + 1)] & K.within(words, window))
-                if not len(near):
-                    continue
-                full = K.window_hashes(h, window)[near]
-                doc = words.doc[near]
-                held.append((full, keys[a:b][doc], (near - words.first[doc]).astype(np.int64)))
-            if sum(len(x[0]) for x in held) >= MERGE_ROWS:
-                yield merged(*map(np.concatenate, zip(*held, strict=True)))
-                held = []
-        if held:
-            yield merged(*map(np.concatenate, zip(*held, strict=True)))
+                found.add(words, h, at[hit], keys[a:b])
+            yield from found.hand_on(MERGE_ROWS)
+        yield from found.hand_on(1)
 
     return find
 
 
+def _candidates_of_places(window: int, size: int):
+    """From rows in order of key, places of anchors before texts: the windows around them."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Windows(window, size)
+        for key, text, _, places in _by_key(batches, "place"):
+            if places:
+                words = K.Words(*K.text_buffer(pa.array([text], pa.large_string())), K.NOT_BLANK)
+                # A place is its text's own word number.
+                found.add(words, words.hashes(), np.unique(np.concatenate(places)), np.array([key]))
+                yield from found.hand_on(MERGE_ROWS)
+        yield from found.hand_on(1)
+
+    return find
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
+    """(key, text, doc_id, parts) for each text of rows in order of key, numbers before texts; parts are arrays of the
+    numbers in `column` that came under the text's key."""
+    now, parts = None, []
+
+    def take(a: int, b: int, key: int) -> None:
+        nonlocal now, parts
+        if key != now:
+            now, parts = key, []
+        for x, y in _pieces(keys, a, b, key):
+            parts.append(numbers[x:y].astype(np.int64))
+
+    for batch in batches:
+        keys, numbers = batch.column("key").to_numpy(), batch.column(column).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(batch.column("is_text").to_numpy(zero_copy_only=False))
+        texts, ids = batch.column("text").take(pa.array(at)), batch.column("doc_id").take(pa.array(at))
+        done = 0
+        for j, i in enumerate(at.tolist()):
+            take(done, i, keys[i])
+            done = i + 1
+            yield int(keys[i]), texts[j].as_py() or "", ids[j].as_py(), parts
+        if done < len(keys):
+            take(done, len(keys), keys[-1])
+
+
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of h: the spans whose window another row has too, and the ranges known before."""
 
     def out(key, span):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(span), pa.nulls(len(key), pa.string()), pa.nulls(len(key), pa.int64())], ["key", "span", "text", "doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(span)], ["key", "span"])
 
     last_h, pending = None, None  # the last row, if it waits for the next one's hash
     for batch in batches:
@@ -201,48 +274,35 @@ def _remove(window: int, with_text: bool):
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, spans = None, []
-        for batch in batches:
-            keys, packed = batch.column("key").to_numpy(), batch.column("span").to_numpy(zero_copy_only=False)
-            is_text = batch.column("is_text").to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(is_text)
-            texts, ids = batch.column("text").take(pa.array(at)), batch.column("doc_id").take(pa.array(at))
-            rows, done = [], 0
-            for j, i in enumerate(at.tolist()):
-                key = keys[i]
-                if key != now:
-                    now, spans = key, []
-                for a, b in _pieces(keys, done, i, key):
-                    spans.append((key, packed[a:b].astype(np.int64)))
-                done = i + 1
-                words = (texts[j].as_py() or "").encode("utf-8", "surrogatepass").split()
-                gone = []
-                if spans:
-                    p = np.concatenate([s[1] for s in spans])
-                    hit = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(hit, p >> 32, 1)
-                    np.add.at(hit, np.minimum((p >> 32) + (p & 0xFFFFFFFF) + window - 1, len(words)), -1)
-                    start, end = K.runs(np.cumsum(hit[:-1]) > 0)
-                    gone = list(zip(start.tolist(), end.tolist(), strict=True))
-                kept, last = [], 0
-                for s, e in gone:
-                    kept += words[last:s]
-                    last = e
-                kept += words[last:]
-                line = b" ".join(kept)
-                rows.append((ids[j].as_py(), int(key), len(words), len(words) - len(kept), line.decode() if with_text else None, hashlib.sha256(line).hexdigest(), [{"start": s, "end": e} for s, e in gone]))
-            if done < len(keys):
-                key = keys[-1]
-                if key != now:
-                    now, spans = key, []
-                for a, b in _pieces(keys, done, len(keys), key):
-                    spans.append((key, packed[a:b].astype(np.int64)))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5]), pa.array(cols[6], span_type)],
-                    ["doc_id", "key", "n_words", "n_removed", "kept_text", "kept_sha256", "spans"],
-                )
+        rows, size = [], 0
+        for key, text, doc, spans in _by_key(batches, "span"):
+            words = text.encode("utf-8", "surrogatepass").split()
+            gone = []
+            if spans:
+                p = np.concatenate(spans)
+                hit = np.zeros(len(words) + 1, np.int32)
+                np.add.at(hit, p >> 32, 1)
+                np.add.at(hit, np.minimum((p >> 32) + (p & 0xFFFFFFFF) + window - 1, len(words)), -1)
+                start, end = K.runs(np.cumsum(hit[:-1]) > 0)
+                gone = list(zip(start.tolist(), end.tolist(), strict=True))
+            kept, last = [], 0
+            for s, e in gone:
+                kept += words[last:s]
+                last = e
+            kept += words[last:]
+            line = b" ".join(kept)
+            rows.append((doc, key, len(words), len(words) - len(kept), line.decode() if with_text else None, hashlib.sha256(line).hexdigest(), [{"start": s, "end": e} for s, e in gone]))
+            size += len(line) if with_text else 1000
+            if size >= K.CHUNK_BYTES:
+                yield out(rows)
+                rows, size = [], 0
+        if rows:
+            yield out(rows)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span_type]
+        names = ["doc_id", "key", "n_words", "n_removed", "kept_text", "kept_sha256", "spans"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return strip
 
@@ -253,14 +313,15 @@ def _pieces(keys: np.ndarray, a: int, b: int, key: int) -> list[tuple[int, int]]
     return [(a, b)] if a < b else []
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 35, period: int = PERIOD, cover: tuple[int, ...] = COVER, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 35, period: int = PERIOD, cover: tuple[int, ...] = COVER, with_text: bool = True, max_anchors: int = MAX_ANCHORS) -> DataFrame:
     """Each text without the words that lie in a repeated window of `window` words.
 
     Returns one row per input row: doc_id, key, n_words, n_removed, kept_text (words joined by one space; null unless
     `with_text`), kept_sha256 and the removed ranges of words.  Only `doc_id` and `text` are read, so other columns
     may have any name.  A null text has no words.  Texts shorter than the window stay whole.  All occurrences of a
     repeated passage go, the first one too, and rows that repeat a whole text of at least `window` words lose all of
-    it.  Equal rows get equal results; an empty table gives an empty result.
+    it.  Equal rows get equal results; an empty table gives an empty result.  `max_anchors` decides how candidates are
+    found (see above), not which.
     """
     if not 1 <= period < window or not is_difference_cover(cover, period):
         raise ValueError("cover must be a difference cover modulo period, and period less than window")
@@ -270,13 +331,26 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id")).withColumn("key", row_key("doc_id", "text"))
     anchors = rows.select("text").mapInArrow(_anchor_counts(size, period, cover), "h long, n long")
     repeated = store.keep(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
-    bitmap, bits = _bitmap(repeated, repeated.count())
-    shared = spark.sparkContext.broadcast(bitmap)
-    found = rows.select("text", "key").mapInArrow(_candidates(shared, bits, window, size, period, cover), "h long, key long, span long, kind byte")
-    n = store.partitions(spark)
-    spans = found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_mark, "key long, span long, text string, doc_id long")
-    both = spans.withColumn("is_text", F.lit(False)).unionByName(rows.withColumns({"span": F.lit(None).cast("long"), "is_text": F.lit(True)}))
-    return both.repartition(n, "key").sortWithinPartitions("key", "is_text").mapInArrow(_remove(window, with_text), _RESULT)
+    n = store.partitions(spark, docs)
+    known = repeated.count()
+    if known <= max_anchors:
+        bitmap, bits = _bitmap(repeated, known)
+        shared = spark.sparkContext.broadcast(bitmap)
+        found = rows.select("text", "key").mapInArrow(_candidates(shared, bits, window, size, period, cover), _CANDIDATES)
+    else:
+        places = rows.select("text", "key").mapInArrow(_anchor_places(size, period, cover), "h long, key long, place long")
+        # Merged, never broadcast.  An anchor that very many texts share is split over tasks by adaptive execution.
+        places = places.hint("merge").join(repeated, "h", "left_semi").select("key", "place").distinct()
+        found = _with_texts(places, "place", rows, n).mapInArrow(_candidates_of_places(window, size), _CANDIDATES)
+    spans = found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_mark, "key long, span long")
+    return _with_texts(spans, "span", rows, n).mapInArrow(_remove(window, with_text), _RESULT)
+
+
+def _with_texts(numbers: DataFrame, column: str, rows: DataFrame, n: int) -> DataFrame:
+    """(key, column) and the texts, in order of key, numbers before texts."""
+    none = {"text": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("long"), "is_text": F.lit(False)}
+    both = numbers.withColumns(none).unionByName(rows.withColumns({column: F.lit(None).cast("long"), "is_text": F.lit(True)}))
+    return both.repartition(n, "key").sortWithinPartitions("key", "is_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
