@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -110,6 +111,13 @@ def test_substring_dedup(table):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_substring_dedup_joins_many_anchors(table):
+    src = [(r.doc_id, r.text) for r in table.collect()]
+    want = sorted(((i, *x) for (i, _), x in zip(src, brute_repeats([t for _, t in src], 35))), key=repr)
+    got = substring_dedup.remove_repeats(table, max_anchors=0)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
 def test_substring_dedup_across_batches(spark, table, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
@@ -265,6 +273,34 @@ def test_packing(table):
     assert got.sequence_id.nunique() <= -(-sum(lengths) // 1024) + 1
 
 
+@pytest.mark.parametrize("pool", [3_000, 40_000])
+def test_packing_in_tasks_and_of_the_rest(spark, pool):
+    import public_tokenizers
+
+    r = random.Random(5)
+    texts = [" ".join(["word"] * r.choice([0, 5, 90, 300, 700, 1100, 2500])) for _ in range(400)]
+    got = packing.pack(docs(spark, texts).repartition(3), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, pool_tokens=pool).toPandas()
+    assert (got.sequence_id >= 0).any() and got.length.sum() == sum(len(t.split()) + 1 for t in texts)
+    assert got.groupby("doc_id").length.sum().tolist() == [len(t.split()) + 1 for t in texts]
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 1024
+    # As few sequences as when all pieces are packed at once, or nearly so.
+    at_once = sum(n for _, n in packing.minimum_bin_slack(got.length.value_counts().to_dict(), 1024))
+    assert got.sequence_id.nunique() <= at_once * 1.01 + 1
+
+
+def test_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n\t\u2003" * 500_000 + "b", "x" * 300_000 + " " * 4096 + "!" * 300_000, "\u00e9" * 300_000]
+    got = packing.pack(docs(spark, texts), path).orderBy("doc_id", "piece").collect()
+    for i, t in enumerate(texts):
+        assert [x for r in got if r.doc_id == i for x in r.ids] == [*plain.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_fullest_is_the_best_sum():
     from itertools import product
 
@@ -324,6 +360,43 @@ def test_slot_map(spark):
         m.save(spark, path)
     assert (sharding.SlotMap.load(spark, path).shard_of == grown.shard_of).all()
     assert (sharding.SlotMap.load(spark, path, 2).shard_of == second.shard_of).all()
+    with pytest.raises(Exception, match="(?i)exist"):
+        second.save(spark, path)
+    for absent in (dict(path=path, version=9), dict(path=path + "-none")):
+        with pytest.raises(ValueError):
+            sharding.SlotMap.load(spark, **absent)
+
+
+def test_stored_map_is_edited_again(spark, tmp_path):
+    path = str(tmp_path / "map")
+    texts = [prose(5 + i % 60, i) for i in range(1500)]
+    load = sharding.SlotMap.load
+
+    def run(n, shards):
+        got = sharding.shard(docs(spark, texts[:n]), shards, slots=512, map_path=path).toPandas()
+        sizes = got.groupby("shard")["size"].sum()
+        assert len(sizes) == shards and sizes.max() / sizes.mean() < 1.02
+        assert all(sorted(own) == list(range(len(own))) for _, own in got.groupby("shard").slot)
+        assert (got["shard"] == load(spark, path).shard_of[got.virtual_slot]).all() and set(got.map_version) == {load(spark, path).version}
+
+    run(1000, 6)
+    assert sharding.SlotMap.versions(spark, path) == [1, 2]
+    second = load(spark, path)
+    # Nothing to move, nothing written.
+    run(1000, 6)
+    assert sharding.SlotMap.versions(spark, path) == [1, 2]
+    # A grown table edits the stored map: far fewer slots move than when a map is made anew.
+    run(1100, 6)
+    third = load(spark, path)
+    assert third.version == 3 and (third.shard_of != second.shard_of).mean() < 0.2
+    assert len(third.shard_of) == 512
+    # One more shard takes slots only into itself, then the sizes are evened.
+    run(1500, 7)
+    grown = load(spark, path, 4)
+    assert set(grown.shard_of[grown.shard_of != third.shard_of]) == {6}
+    for other in (dict(shards=3), dict(shards=7, slots=256)):
+        with pytest.raises(ValueError):
+            sharding.shard(docs(spark, texts), **{"slots": 512, **other}, map_path=path)
 
 
 # -- URL filter ---------------------------------------------------------------------------------------------------
@@ -457,6 +530,55 @@ def test_quality_classifier(spark):
     assert len(flat) == 1 and flat[0].score > 0.9
 
 
+def test_classifier_sample_is_of_ids(spark):
+    # One bad id of very many rows must not push the other class, or other ids, out of the sample.
+    bad = [f"BUY now {i}!! click" for i in range(40)]
+    good = [prose(40, i) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(bad + good)] + [(0, bad[0])] * 10_000
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, quality int")
+    for most in (2, 10):
+        got = quality_classifier.classify(frame, quality_classifier.train(frame, labels, max_fit_rows=most)).distinct().collect()
+        assert np.mean([r.score for r in got if r.doc_id >= 40]) > 0.2 + np.mean([r.score for r in got if r.doc_id < 40])
+
+
+def test_log_count_ratios(spark):
+    texts = [(prose(6, i), i % 2) for i in range(20)] + [("", 0), ("ab", 1)]
+    counted = next(quality_classifier._count(iter([pa.RecordBatch.from_arrays([pa.array([t for t, _ in texts]), pa.array([y for _, y in texts])], ["text", "label"])])))
+    got = quality_classifier.log_count_ratios(pa.Table.from_batches([counted]))
+    have = {0: {}, 1: {}}
+    for (_, y), features in zip(texts, quality_classifier.text_features(pa.array([t for t, _ in texts])), strict=True):
+        assert sorted(set(features.tolist())) == features.tolist()
+        for f in features.tolist():
+            have[y][f] = have[y].get(f, 0) + 1
+    every = [sum(h.values()) + quality_classifier.FEATURES for h in have.values()]
+    for f in [*have[0], *have[1], 99_999]:
+        want = np.log((have[1].get(f, 0) + 1) / every[1]) - np.log((have[0].get(f, 0) + 1) / every[0])
+        assert got[f] == pytest.approx(want)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    r = np.random.default_rng(2)
+    ratios = np.zeros(quality_classifier.FEATURES)
+    ratios[:50] = r.normal(size=50)
+    rows = [np.sort(r.choice(50, r.integers(3, 12), replace=False)) for _ in range(24)]
+    y = (np.arange(24) % 3 > 0).astype(int)
+    w = quality_classifier.dual_coordinate_descent(rows, y, ratios, cost=1.0, epochs=3000)
+    x = np.zeros((24, 51))
+    for i, f in enumerate(rows):
+        x[i, f], x[i, 50] = ratios[f] / np.sqrt(len(f)), 1.0
+    sign, cost = 2 * y - 1, np.where(y == 1, 24 / (2 * y.sum()), 24 / (2 * (1 - y).sum()))
+    primal = lambda v: v @ v / 2 + cost @ np.maximum(0, 1 - sign * (x @ v))
+    own = np.append(w[:50], w[-1])
+    # A plain projected gradient on the dual bounds the optimum from below.
+    q, alpha = (sign[:, None] * x) @ (sign[:, None] * x).T, np.zeros(24)
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, cost)
+    dual = alpha.sum() - alpha @ q @ alpha / 2
+    assert primal(own) - dual < 1e-3 * abs(dual) and not w[51:-1].any()
+
+
 # -- WARC ---------------------------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u\r\nv", ""), (4, "u4", None), (5, "u5", "é" * 5000), (6, "u6", "WARC/1.1\r\n\r\nfake"), (6, "again", "<p>x</p>"), (6, "again", "<p>x</p>"), (None, "u7", "<p>x</p>")]
