@@ -191,6 +191,46 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
 
 
+def jaccard(a, b, size=5):
+    x, y = ({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (re.findall(BLANK, re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts(spark):
+    r, texts = random.Random(9), []
+    for group in range(30):
+        words = prose(r.choice([30, 80, 200, 600]), 900 + group).split()
+        for _ in range(r.randint(1, 9)):
+            own = list(words)
+            for _ in range(int(len(own) * r.choice([0, 0.004, 0.01, 0.02, 0.05, 0.2]))):
+                own[r.randrange(len(own))] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += ["few words", "few  WORDS", "few other", "one", "", None]
+    got = {x.doc_id: x.component_id for x in simhash.similar_texts(docs(spark, texts).repartition(3)).collect()}
+    assert sorted(got) == list(range(len(texts))) and got[len(texts) - 1] == got[len(texts) - 2] == len(texts) - 2
+    n = len(texts) - 2
+    near = {(i, j) for i in range(n) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8}
+    # What is joined is joined by links that brute force has too; what has them is joined, but for few that samples miss.
+    root = {i: i for i in range(n)}
+    for _ in range(n):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert all(root[i] == root[got[i]] for i in range(n))
+    missed = [p for p in near if got[p[0]] != got[p[1]]]
+    assert len(near) > 100 and len(missed) <= 0.02 * len(near)
+    assert got[n - 4] == got[n - 3] == n - 4 and got[n - 2] == n - 2
+
+
+@pytest.mark.parametrize("similarity", [0.7, 0.8, 0.9])
+def test_widest(similarity):
+    r, n = np.random.default_rng(3), 400
+    common = round(2 * n * similarity / (1 + similarity))
+    for _ in range(300):
+        x = r.integers(0, 2**63, 2 * n - common, dtype=np.uint64)
+        a, b = (simhash._majority(kernels.mix64(y), np.array([0]))[0] for y in (x[:n], x[n - common :]))
+        assert int(np.bitwise_count(a ^ b)) <= simhash.widest(similarity)
+
+
 def test_keep_one(table):
     src = [(r.doc_id, r.text) for r in table.collect()]
     kept = simhash.keep_one(table)
@@ -198,6 +238,15 @@ def test_keep_one(table):
     assert kept.count() == len(set(brute_groups([brute_fp(t) for _, t in src])))
 
 
+def test_keep_one_of_similar_texts(table):
+    src = [(r.doc_id, r.text) for r in table.collect()]
+    kept = simhash.keep_one(table, by=simhash.similar_texts)
+    distinct = {t or "" for _, t in src}
+    assert kept.columns == table.columns
+    groups = {t: {x for x in distinct if jaccard(t, x) >= 0.8} for t in distinct}
+    assert kept.count() == len({frozenset(g) for g in groups.values()})
+
+
 # -- decontamination ----------------------------------------------------------------------------------------------
 
 ITEMS = [(1, prose(15, 20)), (2, prose(10, 21)), (3, "Solo"), (4, "two Words"), (5, None), (6, " ,;"), (7, prose(15, 20)), (None, prose(25, 22)), (10, SHARED), (2, prose(12, 23))]

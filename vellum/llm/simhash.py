@@ -10,11 +10,19 @@ counted.
 Buckets hold distinct fingerprints only.  One with over BUCKET of them (a large group of near copies) is split again
 by the same argument: of four parts of its free bits one must be equal.  Each split leaves fewer free bits, so after
 at most four splits no bucket can be larger.  A bucket yields a spanning forest of its links, never its pairs.
+
+Three bits of 64 mean all but equal texts.  Texts of which four shingles in five are the same differ in some ten bits,
+and no exact keys of useful length are left on a ring with such a budget.  `similar_texts` therefore also takes SimHash
+fingerprints of samples: of a text's shingles those in one of BANDS bands of the hash, and of these the SAMPLE least,
+which similar texts share in some band or other.  Texts with an equal sample are candidates; each is held against
+CENTRES texts of its bucket (those with the least hash, so no pairs within a bucket are formed), first by the distance
+of the whole texts' fingerprints, then by the Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +38,12 @@ SEGMENTS = 8
 WIDTH = 64 // SEGMENTS
 #: Distinct fingerprints compared with each other in one task; more are split by further bits.
 BUCKET = 2048
+#: Samples of a text: a power of two.  At similarity 0.8 all samples miss with a probability of 0.5 ** 7 * 0.49 = 0.004.
+BANDS = 8
+#: Shingles in a sample.
+SAMPLE = 3
+#: Texts of a bucket that all others are held against.
+CENTRES = 3
 
 _U64 = np.uint64
 
@@ -223,7 +237,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     """
     fps = store.keep(fingerprints(docs, text=text, doc_id=doc_id, size=size, seed=seed), "fingerprints")
     distinct = store.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), distance=distance, bucket=bucket))
+    return _grouped(fps, distinct, links(distinct.select("fp"), distance=distance, bucket=bucket))
+
+
+def _grouped(fps: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """What near_duplicates returns, from (doc_id, fp), (fp, least id) and the links between fingerprints."""
+    roots = components(found)
     rooted = store.keep(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
     least = store.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     # Tables on both sides of each join: a large component or a common fingerprint can be split over tasks.
@@ -231,15 +250,129 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
-def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+def _shingles(words: K.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every distinct shingle, in order; a text of fewer words has one shingle of all of them."""
+    h, doc = words.hashes(), words.doc
+    whole = np.flatnonzero(K.within(words, size))
+    owner, value = [doc[whole]], [K.window_hashes(h, size)[whole]]
+    for k in range(1, size):
+        some = np.flatnonzero(words.count == k)
+        if len(some):
+            owner.append(some)
+            value.append(K.window_hashes(h, k)[words.first[some]])
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    return owner[fresh], value[fresh]
+
+
+def _sketches(size: int):
+    """(doc_id, fp, n, samples): the fingerprint and number of a text's shingles, and the fingerprints of its samples."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, count = np.zeros(batch.num_rows, _U64), np.zeros(batch.num_rows, np.int64)
+            samples, sizes = [np.zeros(0, _U64)], [np.zeros(0, np.int64)]
+            for a, b, buf, off in K.text_chunks(batch.column(0), K.CHUNK_BYTES // 4):
+                owner, value = _shingles(K.Words(K.LOWER[buf], off, K.NOT_BLANK), size)
+                count[a:b] = np.bincount(owner, minlength=b - a)
+                own = np.zeros(b - a, np.int64)
+                if len(owner):
+                    # Values are in order in each text, and so are the bands, their upper bits.
+                    band = owner << 8 | (value >> _U64(64 - BANDS.bit_length() + 1)).astype(np.int64)
+                    first = np.flatnonzero(np.diff(band, prepend=-1))
+                    least = np.arange(len(band)) - np.repeat(first, np.diff(np.append(first, len(band)))) < SAMPLE
+                    own = np.bincount(owner[first], minlength=b - a)
+                    samples.append(_majority(K.mix64(value[least] + _U64(1)), np.flatnonzero(np.diff(band[least], prepend=-1))))
+                    text = np.flatnonzero(np.diff(owner, prepend=-1))
+                    fp[a:b][owner[text]] = _majority(value, text)
+                sizes.append(own)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(samples).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fp.view(np.int64)), pa.array(count), lists], ["doc_id", "fp", "n", "samples"])
+
+    return work
+
+
+def _majority(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The fingerprint of each run of hashes: the bits that over half of them have."""
+    bits = np.unpackbits(value.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    n = np.diff(np.append(first, len(value)))
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(_U64).ravel()
+
+
+def _sets(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, off in K.text_chunks(batch.column(0)):
+                owner, value = _shingles(K.Words(K.LOWER[buf], off, K.NOT_BLANK), size)
+                ends = pa.array(np.searchsorted(owner, np.arange(b - a + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64)))], ["node", "shingles"])
+
+    return work
+
+
+def widest(similarity: float) -> int:
+    """Bits in which the fingerprints of texts of at least this Jaccard similarity differ at most, but for one in some
+    ten thousand: the angle that SimHash measures, and four standard deviations."""
+    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * part + 4 * math.sqrt(64 * part * (1 - part)))
+
+
+def similar_links(known: DataFrame, rows: DataFrame, near: DataFrame, *, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) between fingerprints whose texts share a sample, or are linked in `near`, and have the similarity.
+
+    `known` has (fp, least, n, samples), a row per fingerprint; `rows` the texts by doc_id, `least` among them."""
+    buckets = store.keep(known.select(F.explode(F.array_distinct("samples")).alias("sample"), "fp", "n"), "samples")
+    order = [F.xxhash64("fp", F.lit(i)) for i in range(CENTRES)]
+    centres = buckets.groupBy("sample").agg(F.count("*").alias("size"), *[F.min(F.struct(o, "fp", "n")).alias(f"c{i}") for i, o in enumerate(order)])
+    centres = store.keep(centres.where("size > 1").drop("size"), "centres")
+    # A bucket of very many texts can be split over tasks: two plain tables meet.
+    held = buckets.hint("merge").join(centres, "sample").select("fp", "n", F.explode(F.array_distinct(F.array(*[F.struct(f"c{i}.fp", f"c{i}.n") for i in range(CENTRES)]))).alias("c"))
+    close = (F.col("fp") != F.col("c.fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= widest(similarity))
+    close &= F.least("n", "c.n") >= similarity * F.greatest("n", "c.n")
+    pairs = held.where(close).select(F.greatest("fp", "c.fp").alias("a"), F.least("fp", "c.fp").alias("b"))
+    near = near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = store.keep(pairs.unionByName(near).distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(known.select("fp", "least"), "fp").select(F.col("fp").alias("node"), "least")
+    nodes = store.keep(nodes, "nodes")
+    texts = rows.hint("merge").join(nodes, rows.doc_id == nodes.least).select("text", "node")
+    # Equal rows share an id: one set for each node.
+    sets = store.keep(texts.mapInArrow(_sets(size), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    both = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").hint("merge").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return store.keep(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+
+
+def similar_texts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = 0.8, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """Like near_duplicates, but texts are linked if their sets of shingles have a Jaccard similarity of `similarity`.
+
+    Candidates come by pigeonring, between fingerprints that differ in at most `distance` bits, and by samples (see
+    above), which can miss: two similar texts are joined unless no sample of theirs is equal, or they share none with a
+    text that is similar to both.  All candidates are compared by shingles.  Equal fingerprints count as equal texts.
+    ids must tell texts apart.
+    """
+    store.prepare(docs.sparkSession)
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
+    fps = store.keep(rows.mapInArrow(_sketches(size), "doc_id long, fp long, n long, samples array<long>"), "sketches")
+    known = store.keep(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "samples")).alias("x")).select("fp", F.col("x.doc_id").alias("least"), "x.n", "x.samples"), "distinct")
+    near = links(known.select("fp"), distance=distance, bucket=bucket)
+    found = similar_links(known, rows, near, size=size, similarity=similarity)
+    return _grouped(fps.select("doc_id", "fp"), known.select("fp", "least"), found)
+
+
+def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", by: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
     """The rows of `docs`, all columns as they are, with one row left of each group of near duplicates.
 
-    Rows are told apart by a hash of id and text, so null ids are no group; of equal rows one stays, of a group the
-    one with the least hash.
+    Groups are those of `by`: near_duplicates or similar_texts, which take `how`.  Rows are told apart by a hash of id
+    and text, so null ids are no group; of equal rows one stays, of a group the one with the least hash.
     """
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
     keys = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
-    found = store.keep(near_duplicates(keys, text="text", doc_id="key", **how).select("doc_id", "component_id"), "near")
+    found = store.keep(by(keys, text="text", doc_id="key", **how).select("doc_id", "component_id"), "near")
     stay = store.keep(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("stay")).agg(F.count("*").alias("n")), "stay")
     # Merged, never broadcast: what stays grows with the corpus.
     kept = rows.hint("merge").join(stay, rows.key == stay.stay, "left_semi")

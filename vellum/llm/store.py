@@ -84,15 +84,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-#: Input bytes for one partition of a shuffle whose number of partitions an operator has to name.
-SHUFFLE_BYTES = 32_000_000
+#: Input bytes for one partition of a shuffle whose number of partitions an operator has to name; and the most of them.
+SHUFFLE_BYTES, MAX_PARTITIONS = 32_000_000, 100_000
 
 
 def partitions(spark: SparkSession, rows: DataFrame, times: int = 1) -> int:
-    """Partitions for a shuffle of about `times` what `rows` holds: the session's number, or more where that is little."""
-    estimate = times * int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-estimate // SHUFFLE_BYTES), MAX_PARTITIONS))
+    """Partitions for a shuffle of about `times` what `rows` holds: the session's number, or more where that is little.
 
-
-#: Where sizes are unknown Spark's estimate can be enormous.
-MAX_PARTITIONS = 100_000
+    Where Spark does not know the size of what it reads (its guess is near the largest long), the session's number."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return own if estimate >= 1 << 60 else max(own, min(-(-times * estimate // SHUFFLE_BYTES), MAX_PARTITIONS))
