@@ -159,3 +159,42 @@ def test_sliding_chunks_overlap():
     words = [w for c in out for w in c.split()]
     assert set(text.split()) == set(words)
     assert pdf.cut_at_boundary("a" * 900)[0] == "a" * 800
+
+
+def test_null_fields_can_be_edited(spark):
+    from vellum.schema import CELL, MEDIA, PARAGRAPH, RUN, TABLE
+
+    from vellum.sources import documents as D
+
+    text = "One\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n![x](y.png)\n"
+    docs = D.extract(spark.createDataFrame([(1, text.encode(), "md")], "id long, content binary, extension string"))
+    for path, fields in {
+        "/paragraphs/0": [f for f in PARAGRAPH.fields if f.name in ("alignment", "code_fence_language", "page_index", "list_info")],
+        "/paragraphs/0/runs/0": [f for f in RUN.fields if f.name in ("bold", "font_name", "font_size_pt", "hyperlink_url")],
+        "/tables/0": [f for f in TABLE.fields if f.name in ("style", "page_index")],
+        "/tables/0/rows/0/cells/0": [f for f in CELL.fields if f.name in ("colspan", "rowspan")],
+        "/media/0": [f for f in MEDIA.fields if f.name in ("width_emu", "height_emu", "local_url")],
+    }.items():
+        steps = [{"op": " Replace ", "path": f"{path}/{f.name}", "value": None} for f in fields]
+        got = D.edit(docs, steps).select("applied_instructions", "error").first()
+        assert (got.error, got.applied_instructions) == (None, len(steps))
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("+ a", "bullet:•"), ("▸ a", "bullet:•"), ("∙ a", "bullet:•"), ("■ a", None), ("— a", None), ("(1) a", None),
+    ("iv) a", "decimal:iv)"), ("12. a", "decimal:12."), ("b) a", "decimal:b)"), ("mild. a", "decimal:mild."), ("word. a", None),
+])
+def test_pdf_list_marks(text, want):
+    from vellum.formats.pdf import list_type
+
+    assert list_type(text) == want
+
+
+def test_page_text_is_cut_at_sentences_and_words():
+    from vellum.formats.pdf import boundary, carried, cut_at_boundary
+
+    assert boundary("aaaa bbbb. cccc. dddd eeee", 20) == 17 and boundary("a. bbbb cccc dddd", 12) == 8
+    assert boundary("x" * 30, 20) == 20 and boundary("a bcdefghijklmnop", 12) == 12
+    assert carried("one two three", 7) == "three" and carried("onetwothree", 4) == "hree" and carried("one", 3) == "" == carried("one two", 0)
+    assert cut_at_boundary("aaaa bbbb. cccc. dddd eeee", 20, 7) == ("aaaa bbbb. cccc.", "cccc. dddd eeee")
+    assert cut_at_boundary("aaaabbbb.", 9, 4) == ("aaaabbbb.", "bbb.")

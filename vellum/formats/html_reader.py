@@ -7,10 +7,11 @@ import re
 from vellum.formats.dom import Comment, Node, parse
 
 #: Which elements hold blocks of their own, and what elements mean for the text inside them.
-BLOCKS = frozenset(
-    "p h1 h2 h3 h4 h5 h6 ul ol li table blockquote pre div section article main header footer aside nav figure figcaption details summary form fieldset dl hr".split()
-)
-CONTAINERS = frozenset("div section article main header footer aside nav figure form".split())
+BLOCKS = frozenset({
+    "address", "article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
+})
+CONTAINERS = frozenset({"div", "section", "article", "main", "header", "footer", "aside", "nav", "figure", "form"})
 SILENT = frozenset("script style noscript".split())
 MEANING = {
     **dict.fromkeys(("b", "strong"), {"bold": True}), **dict.fromkeys(("i", "em", "cite", "dfn", "var"), {"italic": True}),

@@ -12,8 +12,8 @@ from collections import Counter
 MAX_CHARS, OVERLAP = 800, 80
 #: Fixed values of the layout rules.
 LARGER, LEVELS, IN_TABLE, IN_TABLE_SIMPLE = 1.05, 6, 0.40, 0.50
-BULLET = re.compile("^[•‣⁃◦●○▪■□–—*-]\\s+")
-NUMBER = re.compile(r"^(\d+[.)]|[a-zA-Z][.)]|\(\d+\))\s+")
+BULLET = re.compile(r"[-*+•·▪▸▹►◦‣⁃◉○●∙]\s+")
+NUMBER = re.compile(r"\s*((?:\d+|[a-zA-Z]|[ivxlcdmIVXLCDM]+)[.)])\s+")
 
 _TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]*|[-+]?[0-9]*\.?[0-9]+|[A-Za-z'\"*]+", re.S)
 _ESCAPES = {b"n": "\n", b"r": "\r", b"t": "\t", b"b": "\b", b"f": "\f"}
@@ -175,8 +175,9 @@ def heading_levels(sizes: list[float], body: float) -> dict[float, str]:
 
 
 def list_type(text: str) -> str | None:
-    if m := BULLET.match(text):
-        return f"bullet:{m[0].strip()}"
+    """`bullet:•` whatever the sign, `decimal:` and the mark as it stands, or nothing."""
+    if BULLET.match(text):
+        return "bullet:•"
     return f"decimal:{m[1]}" if (m := NUMBER.match(text)) else None
 
 
@@ -216,20 +217,31 @@ def read_pdf(data: bytes, include_media: bool = True, profile: str = "chunks") -
 
 # -- plain page text in overlapping chunks ------------------------------------------------------------------------
 
-def cut_at_boundary(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> tuple[str, str]:
-    """(chunk, rest): at the last sentence end past a third of the limit, else the last space there, else the limit.
+def boundary(text: str, most: int) -> int:
+    """Where the first chunk of a longer text ends: behind the last sentence that ends past a third of the limit, else
+    the last word that does, else at the limit."""
+    third = most // 3
+    for unit in (rf".{{{third},}}[.!?]\s", rf".{{{third + 1},}} "):
+        # The dots take as much as they can, so the unit found is the last one.
+        if found := re.compile(unit, re.S).match(text, 0, most):
+            return found.end()
+    return most
+
+
+def carried(chunk: str, overlap: int) -> str:
+    """The whole words at the end of a chunk that `overlap` characters hold; without a space there, all of these."""
+    if not 0 < overlap < len(chunk):
+        return ""
+    cut, space, words = chunk[-overlap:].partition(" ")
+    return words if space else cut
 
-    The rest begins with the last words of the chunk, as many as `overlap` characters hold."""
-    head = text[:most]
-    ends = [m.start() + 1 for m in re.finditer(r"(?<=[.!?])\s+", head) if m.start() > most // 3]
-    space = head.rfind(" ")
-    at = ends[-1] if ends else space if space > most // 3 else most
+
+def cut_at_boundary(text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> tuple[str, str]:
+    """(chunk, rest): the rest begins with what is carried over from the chunk."""
+    at = boundary(text, most)
     chunk, rest = text[:at].strip(), text[at:].strip()
-    if 0 < overlap < len(chunk):
-        tail = chunk[-overlap:]
-        tail = tail[tail.find(" ") + 1 :]
-        rest = f"{tail} {rest}".strip() if rest else tail
-    return chunk, rest
+    again = carried(chunk, overlap)
+    return chunk, f"{again} {rest}".strip() if rest else again
 
 
 def sliding_chunks(pieces: list[tuple[str, str]], most: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:

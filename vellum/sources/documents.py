@@ -163,7 +163,8 @@ def edit(df: DataFrame, instructions: list[dict] | DataFrame, *, doc_id: str = "
             return _shaped(plain), 0, str(e)
 
     outputs = {"doc": DOCUMENT, "applied_instructions": T.IntegerType(), "error": T.StringType()}
-    return mapped(df.withColumn(_JSON, F.to_json("doc")), [_JSON, "instructions"], outputs, work, (_JSON, "instructions"))
+    # Null fields stay in the JSON: instructions may name them.
+    return mapped(df.withColumn(_JSON, F.to_json("doc", {"ignoreNullFields": "false"})), [_JSON, "instructions"], outputs, work, (_JSON, "instructions"))
 
 
 def generate(df: DataFrame, output_format: str, *, title: str | None = None) -> DataFrame:
