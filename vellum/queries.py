@@ -53,12 +53,12 @@ _CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 _SENTENCES = rf"""
 t AS (SELECT doc_id, lang, {_CLEAN} AS c FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, c, list_filter(string_split(regexp_replace(c, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM t WHERE len(c) > 1200),
+s AS (SELECT doc_id, c, list_filter(string_split(regexp_replace(c, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM t WHERE {{long}}),
 """
 
 #: One row for each step: take a sentence, or cut what is over the limit; `out` is what a step gives out.
 _LARGE = rf"""
-{_SENTENCES}
+{_SENTENCES.format(long="len(c) > 1200")}
 fold AS (
   SELECT doc_id, 0 AS k, 1 AS i, '' AS cur, CAST(NULL AS VARCHAR) AS out, false AS over FROM s
   UNION ALL
@@ -141,9 +141,8 @@ def chunk_large_text(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(C.split_large_text(F.col("c"))).alias("chunk_index", "text"))
 
 
-@query("sentence_split", f"WITH {_SENTENCES} last AS (SELECT 1) SELECT doc_id, CAST(unnest(range(0, len(ss))) AS INT) AS sentence_index, unnest(ss) AS text FROM s")
+@query("sentence_split", f"WITH {_SENTENCES.format(long='true')} last AS (SELECT 1) SELECT doc_id, CAST(unnest(range(0, len(ss))) AS INT) AS sentence_index, unnest(ss) AS text FROM s")
 def sentence_split(spark, sf_dir):
-    """Texts of any length; the SQL still leaves out those of 1,200 characters or less."""
     docs = table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("c"))
     return docs.select("doc_id", F.posexplode(X.sentences(F.col("c"))).alias("sentence_index", "text"))
 
@@ -212,42 +211,56 @@ def txt_dividers(spark, sf_dir):
 
 # -- packing of parts ---------------------------------------------------------------------------------------------
 
-_PARTS = rf"parts AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INT) AS i, trim(substr({_CLEAN}, 1, 1200)) AS part FROM conversations WHERE {_CLEAN} <> '')"
+#: Whole turns; `over` marks those that are over the limit.
+_PARTS = rf"parts AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INT) AS i, {_CLEAN} AS part, false AS over FROM conversations WHERE {_CLEAN} <> '')"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole turns; the SQL above still cuts them to 1,200 characters."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", X.clean_text(F.col("text")).alias("part")).where("part <> ''")
     return turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "part"))), lambda s: s["part"]).alias("parts"))
 
 
-_FOLD = f"""WITH RECURSIVE {_PARTS}, c AS (SELECT conv_id, max(i) AS n FROM parts GROUP BY conv_id),
-fold AS (
-  SELECT conv_id, 0 AS i, CAST(NULL AS VARCHAR) AS cur, CAST(NULL AS VARCHAR) AS out FROM c
+_FOLD = """, c AS (SELECT conv_id, max(i) AS n FROM {parts} GROUP BY conv_id),
+packed AS (
+  SELECT conv_id, 0 AS i, CAST(NULL AS VARCHAR) AS cur, false AS whole, CAST(NULL AS VARCHAR) AS out FROM c
   UNION ALL
-  SELECT conv_id, i + 1, CASE WHEN joins THEN cur || chr(10) || part ELSE part END, CASE WHEN NOT joins THEN cur END
-  FROM (SELECT f.conv_id, f.i, cur, p.part, cur IS NOT NULL AND p.part IS NOT NULL AND {{fits}} AS joins
-        FROM fold f JOIN c ON f.conv_id = c.conv_id LEFT JOIN parts p ON p.conv_id = f.conv_id AND p.i = f.i + 1 WHERE f.i <= c.n)
+  SELECT conv_id, i + 1, CASE WHEN joins THEN cur || chr(10) || part ELSE part END, over, CASE WHEN NOT joins THEN cur END
+  FROM (SELECT f.conv_id, f.i, cur, p.part, p.over, cur IS NOT NULL AND p.part IS NOT NULL AND NOT whole AND NOT p.over AND {fits} AS joins
+        FROM packed f JOIN c ON f.conv_id = c.conv_id LEFT JOIN {parts} p ON p.conv_id = f.conv_id AND p.i = f.i + 1 WHERE f.i <= c.n)
 )
-SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS INT) AS chunk_index, out AS text FROM fold WHERE out IS NOT NULL"""
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS INT) AS chunk_index, out AS text FROM packed WHERE out IS NOT NULL"""
+
+#: Parts over the limit are split like large texts, and what comes of them joins nothing.
+_SPLIT_PARTS = f"""WITH RECURSIVE {_PARTS},
+{_LARGE.replace("doc_id, lang, " + _CLEAN + " AS c FROM documents WHERE text IS NOT NULL", "conv_id || ' ' || i AS doc_id, '' AS lang, part AS c FROM parts")}
+pieces AS (
+  SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i, k) AS INT) AS i, part, over
+  FROM (SELECT conv_id, i, 0 AS k, part, false AS over FROM parts WHERE len(part) <= 1200
+        UNION ALL SELECT conv_id, i, chunk_index, raw.text, true FROM parts JOIN raw ON raw.doc_id = conv_id || ' ' || i)
+)"""
+
 
+def _packed(parts: str, fits: str) -> str:
+    given = _SPLIT_PARTS if parts == "pieces" else f"WITH RECURSIVE {_PARTS}"
+    return given + _FOLD.format(parts=parts, fits=fits)
 
-@query("chunk_greedy_pack", _FOLD.replace("{fits}", "len(cur) + 1 + len(p.part) <= 1200"))
+
+@query("chunk_greedy_pack", _packed("pieces", "len(cur) + 1 + len(p.part) <= 1200"))
 def chunk_greedy_pack(spark, sf_dir):
     return _parts(spark, sf_dir).select("conv_id", F.posexplode(C.split_unit(F.col("parts"), accumulate=True)).alias("chunk_index", "text"))
 
 
-@query("chunk_q1_pack", _FOLD.replace("{fits}", "1 + len(p.part) <= 1200"))
+@query("chunk_q1_pack", _packed("pieces", "1 + len(p.part) <= 1200"))
 def chunk_q1_pack(spark, sf_dir):
     return _parts(spark, sf_dir).select("conv_id", F.posexplode(C.split_unit(F.col("parts"), accumulate=False)).alias("chunk_index", "text"))
 
 
-@query("chunk_merge_short_a", _FOLD.replace("{fits}", "len(p.part) < 350 AND len(cur) + 1 + len(p.part) <= 1200"))
+@query("chunk_merge_short_a", _packed("parts", "len(p.part) < 350 AND len(cur) + 1 + len(p.part) <= 1200"))
 def chunk_merge_short_a(spark, sf_dir):
     return _parts(spark, sf_dir).select("conv_id", F.posexplode(C.merge_short(F.col("parts"), least=350, ceiling=1200)).alias("chunk_index", "text"))
 
 
-@query("chunk_merge_short_b", _FOLD.replace("{fits}", "len(p.part) < 350 AND len(cur) + 1 + len(p.part) <= 1550"))
+@query("chunk_merge_short_b", _packed("parts", "len(p.part) < 350 AND len(cur) + 1 + len(p.part) <= 1550"))
 def chunk_merge_short_b(spark, sf_dir):
     return _parts(spark, sf_dir).select("conv_id", F.posexplode(C.merge_short(F.col("parts"), least=350, ceiling=1550)).alias("chunk_index", "text"))
 
@@ -423,10 +436,10 @@ def json_pointer_tokens(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.pointer_tokens(path), "|").alias("tokens"))
 
 
-@query("strip_inline_markdown", """SELECT p_partkey, p_name || ' bold' || ' ' || p_type || ' x' || ' code ' || p_brand || ' link' || ' _' AS text FROM part""")
+@query("strip_inline_markdown", """SELECT p_partkey, p_name || ' bold' || ' ' || p_type || ' x' || ' code  ' || p_brand || ' link' || ' _' AS text FROM part""")
 def strip_inline_markdown(spark, sf_dir):
     text = F.concat("p_name", F.lit(" **bold** *"), "p_type", F.lit("* ~~x~~ `code` ![ "), F.lit("](u)"), F.lit("["), "p_brand", F.lit("](http://e/x) [link](y) \\_"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(X.strip_inline_markdown(text), " +", " ").alias("text"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.strip_inline_markdown(text).alias("text"))
 
 
 @query("format_table", """SELECT r_regionkey, 'Table:' || chr(10) || string_agg(n_name || ' | ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
@@ -561,7 +574,7 @@ def edit_replace_text(spark, sf_dir):
 @query("edit_insert_remove", _list_sql("['Order ' || o_orderkey, 'new', 'by ' || o_custkey, 'in ' || o_orderpriority, 'select ' || o_custkey]"))
 def edit_insert_remove(spark, sf_dir):
     steps = [{"op": "insert_paragraph_after", "index": 0, "value": "new"}, {"op": "insert_paragraph_after", "index": 1, "value": " "}, {"op": "remove_paragraph", "index": 3}, {"op": "remove_empty_paragraphs"}, {"op": "remove", "path": "/paragraphs/5"}]
-    return _paragraph_texts(_edited(spark, sf_dir, steps)).where("index < 5")
+    return _paragraph_texts(_edited(spark, sf_dir, steps))
 
 
 @query("edit_table", "SELECT o_orderkey AS id, unnest([0, 0, 0, 1, 1, 1, 2, 2, 2]) AS row_index, unnest([0, 1, 2, 0, 1, 2, 0, 1, 2]) AS cell_index, unnest(['key', 'a', 'value', 'mid', 'b', '', CAST(o_orderkey AS VARCHAR), 'c', CAST(o_custkey AS VARCHAR)]) AS text FROM orders")
@@ -614,19 +627,15 @@ def slide_chunks_merged(spark, sf_dir):
     return D.chunk(_decks(spark, sf_dir), "chunking").select("id", F.explode("chunks").alias("text"))
 
 
-@query("edit_slides", f"""WITH l AS (SELECT * FROM {_LINES} WHERE c >= 3), s AS (
-  SELECT id, CASE WHEN n = 0 THEN c ELSE n - 1 END AS pos, n AS index, 'part ' || l_partkey AS title, CASE WHEN n % 3 = 0 THEN 'check' END AS notes, 2 AS items FROM l WHERE n <> 1
-  UNION ALL SELECT id, CASE n WHEN 0 THEN c ELSE 0 END, c, 'copy', 'check', 2 FROM l WHERE n = 0)
-SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos, index) - 1 AS INT) AS pos, index, title, notes, items FROM s""")
+@query("edit_slides", f"""WITH l AS (SELECT * FROM {_LINES}), s AS (
+  SELECT id, CASE WHEN n = 0 AND c > 1 THEN c + 1 ELSE n END AS pos, n AS index, 'part ' || l_partkey AS title, CASE WHEN n % 3 = 0 THEN 'check' END AS notes, 2 AS items FROM l WHERE n <> 1
+  UNION ALL SELECT id, c, c, 'copy', 'check', 2 FROM l WHERE n = 0 AND c > 1)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INT) AS pos, index, title, notes, items FROM s""")
 def edit_slides(spark, sf_dir):
-    """Duplicate the first slide to the end, remove the second, move the first to before the copy's end."""
-    decks = _decks(spark, sf_dir).where(F.size("doc.slides") >= 3)
+    """Duplicate the first slide to the end, remove the second, move the first to the end; a deck of one slide has no second and stays."""
     steps = [{"op": "duplicate_slide", "index": 0, "value": {"title": "copy"}}, {"op": "remove_slide", "index": 1}, {"op": "move_slide", "index": 0, "target_index": 9999}]
-    out = D.edit(decks, steps, doc_id="id").select("id", F.posexplode("doc.slides").alias("pos", "s"))
-    swapped = out.withColumn("last", F.max("pos").over(Window.partitionBy("id")))
-    # The copy and the moved slide stand last; both orders of the two are compared by index.
-    pos = F.when(F.col("pos") == F.col("last"), F.col("pos") - 1).when(F.col("pos") == F.col("last") - 1, F.col("pos") + 1).otherwise(F.col("pos"))
-    return swapped.select("id", pos.alias("pos"), "s.index", "s.title", F.col("s.notes_text").alias("notes"), F.size("s.paragraph_indices").alias("items"))
+    out = D.edit(_decks(spark, sf_dir), steps, doc_id="id").select("id", F.posexplode("doc.slides").alias("pos", "s"))
+    return out.select("id", "pos", "s.index", "s.title", F.col("s.notes_text").alias("notes"), F.size("s.paragraph_indices").alias("items"))
 
 
 @query("slide_index_arrays", f"SELECT id, n AS index, CAST(n * 2 AS INT) AS first_item, 2 AS items, 2 AS shape_count FROM {_LINES}")
