@@ -542,6 +542,57 @@ def html_chunks(spark, sf_dir):
     return D.chunk(_pages(spark, sf_dir)).select("page_id", F.posexplode("chunks").alias("chunk_index", "text"))
 
 
+#: A page for each part, with the structures that crawled pages seldom have; @ stands for its key.
+_STRUCTURES = (
+    '<html><body>lead @<hr><img src="a/@.png" alt="x @"><table><caption>cap @</caption><tr><th colspan="2">h @</th></tr><tr><td>1</td><td rowspan="x">@</td></tr></table>'
+    '<dl><dt>t @</dt><dd>d @</dd></dl><fieldset><legend>l @</legend><label>lab</label><input value="v" placeholder="p @"><input type="text"></fieldset><address>ad @</address>'
+    '<p dir="rtl">r @</p><ol start="3"><li>a @<ul><li>in</li></ul></li><li>b</li></ol><div>plain <b>@</b></div><div>x<section>deep @</section></div><dialog>dia</dialog><odd>odd @</odd>'
+    '<details><summary>sum</summary>body @</details><figure><figcaption>fig @</figcaption></figure><p>with<ul><li>z</li></ul></p></body></html>'
+)
+
+
+def _made_pages(spark: SparkSession, sf_dir: str, html: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.lit(html), F.lit("@"), F.col("p_partkey").cast("string")).alias("html"))
+    return D.extract(parts.select("p_partkey", F.encode("html", "UTF-8").alias("content"), F.lit("html").alias("extension")))
+
+
+@query("html_structures", """SELECT p_partkey, CAST(i AS INT) AS index, replace(x[1], '@', CAST(p_partkey AS VARCHAR)) AS text, nullif(x[2], '') AS style, nullif(x[3], '') AS numbering_format, nullif(x[4], '') AS mark
+FROM (SELECT p_partkey, unnest(range(0, 23)) AS i, unnest([['lead @', '', '', ''], ['---', 'HorizontalRule', '', 'CENTER'], ['cap @', 'TableCaption', '', ''], ['t @', 'DefinitionTerm', '', ''], ['d @', 'DefinitionData', '', ''],
+  ['l @', 'Legend', '', ''], ['lab', '', '', ''], ['p @', '', '', ''], ['text', '', '', ''], ['ad @', '', '', ''], ['r @', '', '', 'rtl'], ['a @', '', '3.', ''], ['in', '', 'bullet', ''], ['b', '', '4.', ''], ['plain@', '', '', ''],
+  ['x', '', '', ''], ['deep @', '', '', ''], ['dia', '', '', ''], ['odd @', '', '', ''], ['sum', 'Summary', '', ''], ['body @', '', '', ''], ['fig @', 'Caption', '', ''], ['with', '', '', '']]) AS x FROM part)
+UNION ALL SELECT p_partkey, 23, 'z', NULL, 'bullet', NULL FROM part""")
+def html_structures(spark, sf_dir):
+    rows = _made_pages(spark, sf_dir, _STRUCTURES).select("p_partkey", F.explode("doc.paragraphs").alias("p"))
+    return rows.select("p_partkey", "p.index", "p.text", "p.style", "p.numbering_format", F.coalesce("p.alignment", F.when(F.col("p.direction") == "rtl", "rtl")).alias("mark"))
+
+
+@query("html_cells", "SELECT p_partkey, unnest([0, 1, 1]) AS row_index, unnest([0, 0, 1]) AS cell_index, unnest(['h ' || p_partkey, '1', CAST(p_partkey AS VARCHAR)]) AS text, unnest([true, false, false]) AS is_header, unnest([2, 1, 1]) AS colspan, 1 AS rowspan FROM part")
+def html_cells(spark, sf_dir):
+    rows = _made_pages(spark, sf_dir, _STRUCTURES).select("p_partkey", F.explode(F.get("doc.tables", F.lit(0))["rows"]).alias("r")).select("p_partkey", "r.row_index", F.explode("r.cells").alias("c"))
+    return rows.select("p_partkey", "row_index", "c.cell_index", "c.text", "c.is_header", "c.colspan", "c.rowspan")
+
+
+@query("html_media", "SELECT p_partkey, 'html_img_0' AS relationship_id, p_partkey || '.png' AS file_name, 'a/' || p_partkey || '.png' AS local_url, 'x ' || p_partkey AS alt_text, 'paragraph media paragraph table' AS place FROM part")
+def html_media(spark, sf_dir):
+    """The picture, and its place: the kinds of the blocks from the one before it on (a rule, it, a caption, a table)."""
+    kinds = F.array_join(F.transform(F.slice("doc.document_order", 2, 4), lambda x: x["type"]), " ").alias("place")
+    rows = _made_pages(spark, sf_dir, _STRUCTURES).select("p_partkey", F.explode("doc.media").alias("m"), kinds)
+    return rows.select("p_partkey", "m.relationship_id", "m.file_name", "m.local_url", "m.alt_text", "place")
+
+
+_STYLED = '<p>a<b>b @</b><strong>c</strong><i>i</i><span style="color: rgb(1, 2, 3); font-size: 16px; font-family: Arial, x">s</span><a href="u/@">l</a><sup>2</sup><mark>m</mark><del>d</del></p>'
+
+
+@query("html_runs", """SELECT p_partkey, CAST(unnest(range(0, 8)) AS INT) AS index, unnest(['a', 'b ' || p_partkey || ' c', 'i', 's', 'l', '2', 'm', 'd']) AS text,
+  unnest(['', 'bold', 'italic', '#010203 12.0 Arial', 'u/' || p_partkey, 'sup', 'yellow', 'strike']) AS look FROM part""")
+def html_runs(spark, sf_dir):
+    """Neighbours of one look are one run, with a space between."""
+    r = F.col("r")
+    look = F.concat_ws(" ", F.when(r.bold, "bold"), F.when(r.italic, "italic"), F.when(r.strikethrough, "strike"), r.color_rgb, r.font_size_pt.cast("string"), r.font_name, r.hyperlink_url, r.vertical_align, r.highlight_color)
+    rows = _made_pages(spark, sf_dir, _STYLED).select("p_partkey", F.explode(F.get("doc.paragraphs", F.lit(0))["runs"]).alias("r"))
+    return rows.select("p_partkey", "r.index", "r.text", look.alias("look"))
+
+
 # -- edits --------------------------------------------------------------------------------------------------------
 
 def _edited(spark: SparkSession, sf_dir: str, steps: list[dict]) -> DataFrame:
@@ -591,6 +642,26 @@ def edit_atomic(spark, sf_dir):
     return out.select("id", "applied_instructions", F.size("doc.paragraphs").alias("paragraphs"), "error")
 
 
+@query("edit_tables", "SELECT o_orderkey AS id, unnest([0, 0, 0, 1, 1]) AS table_index, unnest([0, 1, 1, 0, 0]) AS row_index, unnest([0, 0, 1, 0, 1]) AS cell_index, unnest(['p', 'q', 'r', 's', 't']) AS text FROM orders")
+def edit_tables(spark, sf_dir):
+    """Tables put in and taken out, rows taken out."""
+    steps = [
+        {"op": "insert_table_after", "index": 0, "value": [["p"], ["q", "r"]]}, {"op": "insert_table_after", "index": 1, "value": [["u", "v"], ["s", "t"]]},
+        {"op": "remove_table", "index": 0}, {"op": "remove_table_row", "path": "/tables/1", "index": 0},
+    ]
+    rows = _edited(spark, sf_dir, steps).select("id", F.explode("doc.tables").alias("t")).select("id", F.col("t.index").alias("table_index"), F.explode("t.rows").alias("r"))
+    return rows.select("id", "table_index", "r.row_index", F.posexplode("r.cells").alias("cell_index", "c")).select("id", "table_index", "row_index", "cell_index", "c.text")
+
+
+@query("edit_order", "SELECT o_orderkey AS id, 'paragraph 0, paragraph 1, paragraph 2, paragraph 3, table 0, table 1, paragraph 4, paragraph 5, media 0' AS items, 'first' AS text FROM orders")
+def edit_order(spark, sf_dir):
+    """What is put in stands behind its neighbour, what is taken out leaves the order."""
+    steps = [{"op": "insert_paragraph_after", "index": 0, "value": "first"}, {"op": "insert_table_after", "index": 0, "value": "x"}, {"op": "remove_paragraph", "index": 2}]
+    out = _edited(spark, sf_dir, steps)
+    items = F.array_join(F.transform("doc.document_order", lambda x: F.concat(x["type"], F.lit(" "), x["index"])), ", ")
+    return out.select("id", items.alias("items"), F.get("doc.paragraphs", F.lit(1))["text"].alias("text"))
+
+
 @query("edit_by_document", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS applied_instructions, CASE WHEN o_orderkey % 2 = 0 THEN 'cust ' || o_custkey ELSE 'Order ' || o_orderkey END AS text FROM orders")
 def edit_by_document(spark, sf_dir):
     """Every document has its own instructions, in order."""
@@ -638,6 +709,28 @@ def edit_slides(spark, sf_dir):
     return out.select("id", "pos", "s.index", "s.title", F.col("s.notes_text").alias("notes"), F.size("s.paragraph_indices").alias("items"))
 
 
+@query("edit_slides_more", f"""WITH l AS (SELECT * FROM {_LINES})
+SELECT id, 1 AS pos, 0 AS index, 'Top' AS title, 'n' AS notes FROM l WHERE n = 0 AND c > 1
+UNION ALL SELECT id, 0, c, 'new', 'added' FROM l WHERE n = 0 AND c > 1
+UNION ALL SELECT id, CAST(n + 1 AS INT), n, 'part ' || l_partkey, CASE WHEN n % 3 = 0 THEN 'check' END FROM l WHERE n > 0
+UNION ALL SELECT id, pos, i, t, x FROM (SELECT id, unnest([0, 1]) AS pos, unnest([1, 0]) AS i, unnest(['new', 'Top']) AS t, unnest(['added', 'n']) AS x FROM l WHERE c = 1)""")
+def edit_slides_more(spark, sf_dir):
+    """Add a slide behind the first, name and note the first, swap the two."""
+    out = _decks(spark, sf_dir).withColumn("new", F.size("doc.slides"))
+    step = lambda op, value, target=None: F.struct(F.lit(op).alias("op"), F.lit(0).alias("index"), F.lit(value).cast("string").alias("value"), (F.lit(None) if target is None else target).cast("int").alias("target_index"))
+    steps = F.array(step("add_slide", '{"title": "new", "notes_text": "added"}'), step("replace_slide_title", '"Top"'), step("replace_slide_notes", '"n"'), step("swap_slides", None, F.col("new")))
+    rows = out.select("id", F.posexplode(steps).alias("seq", "x")).select("id", "seq", "x.op", "x.index", "x.value", "x.target_index")
+    return D.edit(out.drop("new"), rows, doc_id="id").select("id", F.posexplode("doc.slides").alias("pos", "s")).select("id", "pos", "s.index", "s.title", F.col("s.notes_text").alias("notes"))
+
+
+@query("edit_slide_texts", f"SELECT id, n AS index, CASE WHEN n = 0 THEN 'seller ' ELSE 'supplier ' END || l_suppkey AS text, CASE WHEN n = 0 THEN 'CENTER' END AS alignment, CASE WHEN n = 0 THEN true END AS italic FROM {_LINES}")
+def edit_slide_texts(spark, sf_dir):
+    """Text of one slide, and the look of one paragraph and its runs."""
+    steps = [{"op": "replace_text_in_slide", "index": 0, "old_value": "supplier", "new_value": "seller"}, {"op": "set_paragraph_formatting", "index": 1, "value": {"alignment": "CENTER", "italic": True}}]
+    out = D.edit(_decks(spark, sf_dir), steps, doc_id="id").select("id", F.explode("doc.paragraphs").alias("p")).where("p.index % 2 = 1")
+    return out.select("id", F.expr("cast((p.index - 1) div 2 as int)").alias("index"), "p.text", "p.alignment", F.get("p.runs", F.lit(0))["italic"].alias("italic"))
+
+
 @query("slide_index_arrays", f"SELECT id, n AS index, CAST(n * 2 AS INT) AS first_item, 2 AS items, 2 AS shape_count FROM {_LINES}")
 def slide_index_arrays(spark, sf_dir):
     out = D.edit(_decks(spark, sf_dir), [{"op": "replace_slide_notes", "index": 0, "value": "n"}], doc_id="id").select("id", F.explode("doc.slides").alias("s"))
@@ -672,6 +765,15 @@ def gen_html_table(spark, sf_dir):
     return _generated(_extracted(spark, sf_dir), "html").select("id", F.regexp_extract("text", "(?s)(<table>.*</table>)", 1).alias("text"))
 
 
+@query("gen_html_patched", """SELECT p_partkey, '<body>' || chr(10) || '<p id="k">new ' || p_partkey || '</p><table><tr><td>one</td><td>cell</td></tr></table><footer>kept</footer>' || chr(10) || '</body>' AS text FROM part""")
+def gen_html_patched(spark, sf_dir):
+    """A page that is edited and written again keeps its own markup."""
+    html = '<html><head><title>t</title></head><body><p id="k">old @</p><table><tr><td>one</td><td>two</td></tr></table><footer>kept</footer></body></html>'
+    steps = [{"op": "replace_text", "path": "/paragraphs/0/text", "old_value": "old", "new_value": "new"}, {"op": "replace", "path": "/tables/0/rows/0/cells/1/text", "value": "cell"}]
+    out = D.edit(_made_pages(spark, sf_dir, html).select("p_partkey", "doc"), steps, doc_id="p_partkey")
+    return D.generate(out.drop("error"), "html").select("p_partkey", F.regexp_extract(F.decode("content", "UTF-8"), "(?s)(<body>.*</body>)", 1).alias("text"))
+
+
 def _round_trip(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     made = D.generate(_extracted(spark, sf_dir), form).select("id", "content", F.lit(form).alias("extension"))
     back = D.extract(made).select("id", F.explode("doc.paragraphs").alias("p"))
