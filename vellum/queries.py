@@ -793,7 +793,16 @@ def html_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, "html")
 
 
-@query("sliding_text_chunks")
+@query("sliding_text_chunks", rf"""WITH RECURSIVE cut AS (
+  SELECT doc_id, 0 AS k, {_CLEAN} AS rest, CAST(NULL AS VARCHAR) AS out, false AS over FROM documents WHERE {_CLEAN} <> ''
+  UNION ALL
+  SELECT doc_id, k + 1, CASE WHEN last THEN '' WHEN after = '' THEN again ELSE trim(again || ' ' || after) END, CASE WHEN last THEN rest ELSE chunk END, last
+  FROM (SELECT *, CASE WHEN len(chunk) <= 80 THEN '' WHEN strpos(right(chunk, 80), ' ') > 0 THEN substr(right(chunk, 80), strpos(right(chunk, 80), ' ') + 1) ELSE right(chunk, 80) END AS again
+        FROM (SELECT *, len(rest) < 800 AS last, trim(substr(rest, 1, place)) AS chunk, trim(substr(rest, place + 1)) AS after
+              FROM (SELECT *, CASE WHEN sentence <> '' THEN len(sentence) WHEN word <> '' THEN len(word) ELSE 800 END AS place
+                    FROM (SELECT *, regexp_extract(substr(rest, 1, 800), '(?s)^.{{266,}}[.!?]\s') AS sentence, regexp_extract(substr(rest, 1, 800), '(?s)^.{{267,}} ') AS word FROM cut WHERE NOT over AND rest <> ''))))
+)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS chunk_index, out AS chunk FROM cut WHERE out IS NOT NULL""")
 def sliding_text_chunks(spark, sf_dir):
     """The plain chunker of page text, over documents as pages."""
     from pyspark.sql import types as T
