@@ -198,3 +198,18 @@ def test_page_text_is_cut_at_sentences_and_words():
     assert carried("one two three", 7) == "three" and carried("onetwothree", 4) == "hree" and carried("one", 3) == "" == carried("one two", 0)
     assert cut_at_boundary("aaaa bbbb. cccc. dddd eeee", 20, 7) == ("aaaa bbbb. cccc.", "cccc. dddd eeee")
     assert cut_at_boundary("aaaabbbb.", 9, 4) == ("aaaabbbb.", "bbb.")
+
+
+def test_chunk_files_by_strategy(spark):
+    from vellum.sources import documents as D
+
+    made = pdf.write_pdf({"paragraphs": [{"index": 0, "text": "Head", "style": "Heading 1", "runs": []}, {"index": 1, "text": "body text", "runs": []}], "document_order": [{"type": "paragraph", "index": 0}, {"type": "paragraph", "index": 1}]}, None)
+    rows = [("a.pdf", made), ("b.txt", b"some text"), ("c.pdf", b"not a pdf"), ("d.xyz", b"x"), ("e.pdf", None), ("f.md", b"")]
+    files = spark.createDataFrame(rows, "filename string, content binary")
+    simple = {r.filename: r for r in D.chunk_files(files).collect()}
+    assert simple["a.pdf"].chunks == ["Head body text"] and simple["b.txt"].chunks == ["some text"]
+    assert all(simple[n].chunks == [] for n in ("c.pdf", "d.xyz", "e.pdf", "f.md")) and simple["d.xyz"].error
+    structured = {r.filename: r.chunks for r in D.chunk_files(files, strategy="structured").collect()}
+    assert structured["a.pdf"] == ["Head\nbody text"] and structured["b.txt"] == ["some text"]
+    with pytest.raises(ValueError):
+        D.chunk_files(files, strategy="other")

@@ -788,6 +788,14 @@ for _form, _texts in {
     query(f"{_form}_roundtrip", _list_sql(_texts))(lambda spark, sf_dir, form=_form: _round_trip(spark, sf_dir, form))
 
 
+@query("pdf_simple_chunks", "SELECT o_orderkey AS id, 0 AS chunk_index, 'Order ' || o_orderkey || ' status **' || o_orderstatus || '** end - by ' || o_custkey || ' 2) in ' || o_orderpriority || ' key | value ' || o_orderkey || ' | ' || o_custkey || ' select ' || o_custkey || ' ![img](a/p' || o_custkey || '.png)' AS text FROM orders UNION ALL SELECT -o_orderkey, 0, 'plain ' || o_orderkey FROM orders")
+def pdf_simple_chunks(spark, sf_dir):
+    """Files of several formats through the default strategy: PDF as plain text, others by structure."""
+    pdfs = D.generate(_extracted(spark, sf_dir), "pdf").select("id", "content", F.lit("a.PDF").alias("filename"))
+    texts = table(spark, sf_dir, "orders").select((-F.col("o_orderkey")).alias("id"), F.encode(F.concat(F.lit("plain "), "o_orderkey"), "UTF-8").alias("content"), F.lit("b.txt").alias("filename"))
+    return D.chunk_files(pdfs.unionByName(texts)).select("id", F.posexplode("chunks").alias("chunk_index", "text"))
+
+
 @query("html_roundtrip")
 def html_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, "html")

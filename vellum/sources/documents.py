@@ -205,3 +205,37 @@ def chunk_pdf_pages(df: DataFrame, max_chars: int = 800, overlap: int = 80) -> D
             return ([],)
 
     return mapped(df, ["content"], {"chunks": T.ArrayType(T.StringType())}, work)
+
+
+STRATEGIES = ("simple", "structured")
+
+
+def chunk_files(df: DataFrame, *, strategy: str = "simple", profile: str = "chunking") -> DataFrame:
+    """Rows of (filename or extension, content) with `chunks` and `error` instead of the content.
+
+    `simple` takes the plain text of PDF files page by page, in overlapping chunks; it means nothing for other formats,
+    which are read and chunked by their structure, as all are with `structured`.  A file that can't be read has no
+    chunks.  One pass over the rows, without a shuffle.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
+    if "extension" not in df.columns:
+        df = df.withColumn("extension", extension_of(F.col("filename")))
+
+    def pages(content: bytes | None) -> tuple:
+        from vellum.formats.pdf import chunk_pdf
+
+        try:
+            return (chunk_pdf(bytes(content)) if content else [], None)
+        except Exception as e:  # noqa: BLE001 - one document's fault is its own
+            return ([], f"{type(e).__name__}: {e}")
+
+    plain = (format_of(F.col("extension")) == "pdf") & F.lit(strategy == "simple")
+    split = df.withColumn("_plain", F.coalesce(plain, F.lit(False))).withColumn("_pdf", F.when(F.col("_plain"), F.col("content"))).withColumn("content", F.when(~F.col("_plain"), F.col("content")))
+    read = extract(mapped(split, ["_pdf"], {"_chunks": T.ArrayType(T.StringType()), "_error": T.StringType()}, pages, ("_pdf",)), profile=profile)
+    made = chunk(read, profile)
+    none = F.array().cast("array<string>")
+    return made.withColumns({
+        "chunks": F.when(F.col("_plain"), F.col("_chunks")).otherwise(F.coalesce("chunks", none)),
+        "error": F.when(F.col("_plain"), F.col("_error")).otherwise(F.col("doc.error")),
+    }).drop("_plain", "_chunks", "_error", "content", "doc")
