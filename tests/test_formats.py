@@ -213,3 +213,22 @@ def test_chunk_files_by_strategy(spark):
     assert structured["a.pdf"] == ["Head\nbody text"] and structured["b.txt"] == ["some text"]
     with pytest.raises(ValueError):
         D.chunk_files(files, strategy="other")
+
+
+def test_a_damaged_slide_loses_only_itself():
+    import io
+    import zipfile
+
+    made = ooxml.write_pptx({"paragraphs": [{"index": i, "text": f"t{i}", "style": "Heading 1", "runs": []} for i in range(3)], "document_order": [{"type": "paragraph", "index": i} for i in range(3)]}, None)
+    old, out = zipfile.ZipFile(io.BytesIO(made)), io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n in old.namelist():
+            body = old.read(n)
+            if n == "ppt/slides/slide2.xml":
+                body = body[: len(body) // 2]
+            if n == "ppt/slides/slide3.xml":
+                body = body.replace(b"<a:p>", b'<a:p><a:pPr lvl="odd"/>')
+            z.writestr(n, body)
+    whole, got = ooxml.read_pptx(made), ooxml.read_pptx(out.getvalue())
+    assert len(got["slides"]) == len(whole["slides"]) >= 3 and [s["index"] for s in got["slides"]] == list(range(len(got["slides"])))
+    assert got["slides"][1]["paragraph_indices"] == [] and "t0" in got["slides"][0]["text"] and "t2" in got["slides"][2]["text"]

@@ -46,6 +46,19 @@ def _val(e, path: str, attr: str = W + "val"):
     return None if found is None else found.get(attr, "")
 
 
+def _whole(raw: str | None, default: int = 0) -> int:
+    """A whole number as attributes write it; anything else is the default."""
+    return int(raw) if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", raw or "") else default
+
+
+def _xml_or_none(z: zipfile.ZipFile, path: str):
+    """Like _xml, and None for a part that is no XML: one damaged part does not lose the others."""
+    try:
+        return _xml(z, path)
+    except ET.ParseError:
+        return None
+
+
 def _flag(e, path: str) -> bool | None:
     v = _val(e, path)
     return None if v is None else v not in ("0", "false", "none")
@@ -106,7 +119,7 @@ def read_docx(data: bytes, include_media: bool = True, profile: str = "chunks")
         style_id = _val(ppr, W + "pStyle")
         style = names.get(style_id, style_id) if style_id else (None if lean else "Normal")
         num, level = _val(ppr, f"{W}numPr/{W}numId"), _val(ppr, f"{W}numPr/{W}ilvl")
-        info = {"num_id": int(num), "level": int(level or 0)} if num and num.isdigit() else None
+        info = {"num_id": int(num), "level": _whole(level)} if num and num.isdigit() else None
         form = numbering.get((num, level or "0")) if info else None
         low = (style or "").lower()
         bullet = "bullet" in low or bool(form and form.startswith("bullet"))
@@ -182,8 +195,12 @@ def read_pptx(data: bytes, include_media: bool = True) -> dict:
     paragraphs, tables, media, order, slides = [], [], [], [], []
     for sid in root.iter(P + "sldId"):
         path = rels.get(sid.get(R + "id"), ("",))[0]
-        slide_xml = _xml(z, path)
+        if path not in z.namelist():
+            continue
+        slide_xml = _xml_or_none(z, path)
         if slide_xml is None:
+            # The slide keeps its place, without what it holds.
+            slides.append({"index": len(slides), "slide_number": len(slides) + 1, "text": "", "shape_count": 0, "paragraph_indices": [], "table_indices": [], "media_indices": []})
             continue
         own, at = _rels(z, path), {"paragraph": [], "table": [], "media": []}
         title, texts, shapes = None, [], 0
@@ -202,7 +219,7 @@ def read_pptx(data: bytes, include_media: bool = True) -> dict:
                 body = shape.find(P + "txBody")
                 lines = []
                 for p in body.findall(A + "p") if body is not None else ():
-                    text, level = _slide_text(p), int(_val(p, A + "pPr", "lvl") or 0)
+                    text, level = _slide_text(p), _whole(_val(p, A + "pPr", "lvl"))
                     if text.strip():
                         lines.append(text)
                         put("paragraph", paragraphs, {"text": text, "style": "Heading 1" if is_title else None, "is_bullet": level > 0, "is_numbered": False, "list_level": level, "alignment": _val(p, A + "pPr", "algn"), "runs": _slide_runs(p), "source": {"format": "pptx"}})
@@ -215,17 +232,17 @@ def read_pptx(data: bytes, include_media: bool = True) -> dict:
                     cells = []
                     for tc in tr.findall(A + "tc"):
                         ps = tc.findall(f"{A}txBody/{A}p")
-                        cells.append({"cell_index": len(cells), "text": "\n".join(x for x in map(_slide_text, ps) if x), "colspan": int(tc.get("gridSpan", 1)), "rowspan": int(tc.get("rowSpan", 1)), "paragraphs": [{"index": i, "text": _slide_text(p), "runs": _slide_runs(p)} for i, p in enumerate(ps)]})
+                        cells.append({"cell_index": len(cells), "text": "\n".join(x for x in map(_slide_text, ps) if x), "colspan": _whole(tc.get("gridSpan"), 1), "rowspan": _whole(tc.get("rowSpan"), 1), "paragraphs": [{"index": i, "text": _slide_text(p), "runs": _slide_runs(p)} for i, p in enumerate(ps)]})
                     rows.append({"row_index": r, "cells": cells})
                 put("table", tables, {"row_count": len(rows), "column_count": max((len(r["cells"]) for r in rows), default=0), "rows": rows})
             elif shape.tag == P + "pic" and include_media:
                 blip, ext = next(shape.iter(A + "blip"), None), shape.find(f"{P}spPr/{A}xfrm/{A}ext")
                 target = own.get(blip.get(R + "embed"), ("",))[0] if blip is not None else ""
                 if target in z.namelist():
-                    size = {"width_emu": int(ext.get("cx", 0)), "height_emu": int(ext.get("cy", 0))} if ext is not None else {}
+                    size = {"width_emu": _whole(ext.get("cx")), "height_emu": _whole(ext.get("cy"))} if ext is not None else {}
                     put("media", media, {"relationship_id": blip.get(R + "embed"), "content_type": _TYPES.get(target.rpartition(".")[2].lower()), "file_name": posixpath.basename(target), "local_file_path": target, "content": z.read(target), **size})
         notes_path = next((t for t, kind in own.values() if kind.endswith("/notesSlide")), "")
-        notes = _xml(z, notes_path) if notes_path else None
+        notes = _xml_or_none(z, notes_path) if notes_path else None
         notes_text = None
         if notes is not None:
             bodies = [s for s in notes.iter(P + "sp") if any(h.get("type") in (None, "body") for h in s.iter(P + "ph"))]
