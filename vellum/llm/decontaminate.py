@@ -194,8 +194,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
 def _ranges(w):
     """Sorted places as ranges of consecutive ones."""
-    starts = F.filter(w, lambda x: ~F.array_contains(w, x - 1))
-    ends = F.filter(w, lambda x: ~F.array_contains(w, x + 1))
+    starts = F.filter(w, lambda x, i: (i == 0) | (F.get(w, i - 1) != x - 1))
+    ends = F.filter(w, lambda x, i: (i == F.size(w) - 1) | (F.get(w, i + 1) != x + 1))
     return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
 
 
