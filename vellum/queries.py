@@ -508,7 +508,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.extract(rows).select("page_id", "doc")
 
 
-_ENTITIES = "replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+#: Character references of the pages, which may lack their semicolon; the ampersand's comes last, so that nothing is
+#: decoded twice.
+_ENTITIES = "{0}"
+for _name, _sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+    _ENTITIES = f"regexp_replace({_ENTITIES}, '{_name}?', '{_sign}', 'g')"
 
 
 @query("html_headings", f"SELECT page_id, trim(regexp_replace({_ENTITIES.format('h')}, '\\s+', ' ', 'g')) AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1[^>]*>([^<]*)</h1>', 1)) AS h FROM pages) WHERE trim(h) <> ''")
@@ -531,7 +535,18 @@ def html_metadata(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.col("doc.metadata")["title"].alias("title"), F.col("doc.metadata")["doctype"].alias("doctype"))
 
 
-@query("html_full_extract")
+#: The pages' bodies cut at block tags and comments (whose text counts); chr(2) marks list items and chr(3) headings.
+_BLOCKS_OF_PAGES = rf"""cut AS (
+  SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*<body[^>]*>', ''), '(?s)<!--(.*?)-->', chr(1) || '\1' || chr(1), 'g'),
+    '<li[^>]*>', chr(1) || chr(2), 'g'), '<h1[^>]*>', chr(1) || chr(3), 'g'), '</?(nav|ul|li|div|article|h1|p|footer|body|html)( [^>]*)?>', chr(1), 'g'), chr(1)) AS b FROM pages
+), block AS (
+  SELECT page_id, i, left(x, 1) AS mark, array_to_string(list_filter(list_transform(string_split({_ENTITIES.format("regexp_replace(translate(x, chr(2) || chr(3), ''), '<[^>]*>', '', 'g')")}, chr(10)), lambda y: trim(regexp_replace(y, '\s+', ' ', 'g'))), lambda y: y <> ''), chr(10)) AS text
+  FROM (SELECT page_id, unnest(b) AS x, unnest(range(0, len(b))) AS i FROM cut)
+)"""
+
+
+@query("html_full_extract", f"""WITH {_BLOCKS_OF_PAGES} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS index, text, CASE WHEN mark = chr(3) THEN 'Heading 1' END AS style,
+  mark = chr(2) AS is_bullet, CASE WHEN mark = chr(2) THEN 0 END AS list_level FROM block WHERE text <> ''""")
 def html_full_extract(spark, sf_dir):
     rows = _pages(spark, sf_dir).select("page_id", F.explode("doc.paragraphs").alias("p"))
     return rows.select("page_id", "p.index", "p.text", "p.style", "p.is_bullet", "p.list_level")
@@ -796,7 +811,7 @@ def pdf_simple_chunks(spark, sf_dir):
     return D.chunk_files(pdfs.unionByName(texts)).select("id", F.posexplode("chunks").alias("chunk_index", "text"))
 
 
-@query("html_roundtrip")
+@query("html_roundtrip", _list_sql(_PLAIN.replace("'status ' || o_orderstatus || ' end'", "'status' || o_orderstatus || 'end'")))
 def html_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, "html")
 
