@@ -32,9 +32,10 @@ def keep_first(items: DataFrame, key: Names, position: str) -> DataFrame:
 def order_join(order: DataFrame, items: DataFrame, *, doc: str = "doc_id", position: str = "pos") -> DataFrame:
     """Order entries (doc, seq, type, index) with their items (doc, type, index, position, ...).
 
-    Entries without an item are dropped; of items with one index the last counts."""
+    Entries without an item are dropped; of items with one index the last counts.  The two are merged, never broadcast:
+    items that come from arrays are far more than Spark estimates, and it would gather them on the driver."""
     key = [doc, "type", "index"]
-    return order.join(keep_last(items, key, position), key)
+    return order.join(keep_last(items, key, position).hint("merge"), key)
 
 
 def first_mode(values: DataFrame, by: Names, value: str, position: str) -> DataFrame:
