@@ -14,8 +14,9 @@ _PLACES = ("$.extension", "$.extracted_data.extension", "$.extracted_data.docume
 
 def _named(payload: Column, *places: str) -> Column:
     """The first place with a value that is not blank, lower-cased and without a leading dot."""
-    values = [F.regexp_replace(F.lower(X.strip(F.get_json_object(payload, p))), r"^\.+", "") for p in places]
-    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
+    # Each step is computed once: named again in the next, it would read the JSON anew, some hundred times in all.
+    own = lambda v: X.let(F.regexp_replace(F.lower(X.strip(v)), r"^\.+", ""), lambda x: F.nullif(x, F.lit("")))
+    return F.coalesce(*[X.let(F.get_json_object(payload, p), own) for p in places])
 
 
 def payload_extension(payload: Column) -> Column:
@@ -25,18 +26,17 @@ def payload_extension(payload: Column) -> Column:
 
 def edit_extension(payload: Column) -> Column:
     """The editor of a payload: docx (also without a named format), html, md, txt or pptx; null for others."""
-    own = payload_extension(payload)
-    return (
+    return X.let(payload_extension(payload), lambda own: (
         F.when(own.isin("", "doc", "docx"), "docx").when(own.isin("html", "htm"), "html").when(own.isin("md", "markdown"), "md")
         .when(own.isin("txt", "text"), "txt").when(own.isin("ppt", "pptx"), "pptx")
-    )
+    ))
 
 
 def generation_format(payload: Column) -> Column:
     """target_format, output_format, document_type or extension, json and xml left aside; docx for what is not known."""
     places = ("$.target_format", "$.output_format", "$.document_type", "$.extracted_data.document_type", "$.extension")
-    names = [_named(payload, p) for p in places]
-    return X.normalize_extension(F.coalesce(*[F.when(~n.isin("json", "xml"), n) for n in names]))
+    names = [X.let(_named(payload, p), lambda n: F.when(~n.isin("json", "xml"), n)) for p in places]
+    return X.normalize_extension(F.coalesce(*names))
 
 
 def read_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -55,10 +55,9 @@ def chunk_request(df: DataFrame, payload: str = "payload") -> DataFrame:
     c = F.col(payload)
     named = _named(c, "$.extension", "$.input_format")
     own = X.normalize_extension(F.coalesce(named, F.lit("docx")))
-    error = F.when(F.get_json_object(c, "$.extracted_data").isNull(), "extracted_data is required").when(own == "html", "html is not supported")
-    kind = F.when(own == "pptx", "pptx").otherwise(own)
-    rows = read_payloads(df, payload).withColumns({"extension": own, "error": error})
-    rows = rows.withColumn("doc", F.when(F.col("error").isNull(), F.col("doc").withField("source_type", kind)))
+    error = F.when(F.get_json_object(c, "$.extracted_data").isNull(), "extracted_data is required").when(F.col("extension") == "html", "html is not supported")
+    rows = read_payloads(df, payload).withColumn("extension", own).withColumn("error", error)
+    rows = rows.withColumn("doc", F.when(F.col("error").isNull(), F.col("doc").withField("source_type", F.col("extension"))))
     rows = chunk(rows, "chunks").withColumn("filename", X.chunk_filename(F.get_json_object(c, "$.filename"), F.col("extension")))
     return rows.withColumn("chunks", F.when(F.col("error").isNull(), F.col("chunks"))).drop("doc")
 
