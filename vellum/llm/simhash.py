@@ -14,9 +14,11 @@ at most four splits no bucket can be larger.  A bucket yields a spanning forest
 Three bits of 64 mean all but equal texts.  Texts of which four shingles in five are the same differ in some ten bits,
 and no exact keys of useful length are left on a ring with such a budget.  `similar_texts` therefore also takes SimHash
 fingerprints of samples: of a text's shingles those in one of BANDS bands of the hash, and of these the SAMPLE least,
-which similar texts share in some band or other.  Texts with an equal sample are candidates; each is held against
-CENTRES texts of its bucket (those with the least hash, so no pairs within a bucket are formed), first by the distance
-of the whole texts' fingerprints, then by the Jaccard similarity of their shingles.
+which similar texts share in some band or other.  Texts with an equal sample are candidates, by the distance of the
+whole texts' fingerprints and then by the Jaccard similarity of their shingles.  First each is held against CENTRES
+texts of its bucket (those with the least hash), which joins large groups of near copies without their pairs.  Then all
+other pairs of a bucket follow, but for those that are joined by then: in blocks of BUCKET texts, each with each.  The
+same is done for what pigeonring links, as a forest that holds by distance need not hold by similarity.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ BUCKET = 2048
 BANDS = 8
 #: Shingles in a sample.
 SAMPLE = 3
-#: Texts of a bucket that all others are held against.
+#: Texts of a bucket that all others are held against first.
 CENTRES = 3
 
 _U64 = np.uint64
@@ -322,8 +324,64 @@ def widest(similarity: float) -> int:
     return math.ceil(64 * part + 4 * math.sqrt(64 * part * (1 - part)))
 
 
-def similar_links(known: DataFrame, rows: DataFrame, near: DataFrame, *, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) between fingerprints whose texts share a sample, or are linked in `near`, and have the similarity.
+def _others(similarity: float):
+    """From rows in order of (kind, sample, i, j): the pairs of a bucket's blocks i and j whose roots differ and whose
+    fingerprints and numbers of shingles let them be similar."""
+    widths, none = widest(similarity), np.zeros(0, np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            n = len(cols[0])
+            new = np.ones(n, bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
+            begin = np.flatnonzero(new)
+            # The last group may go on in the next batch.
+            rest = [c[begin[-1] :] for c in cols] if n else None
+            for x, y in zip(begin, begin[1:], strict=False):
+                yield from pairs([c[x:y] for c in cols])
+        if rest is not None:
+            yield from pairs(rest)
+
+    def pairs(cols) -> Iterator[pa.RecordBatch]:
+        _, _, i, j, block, fp, count, root = cols
+        bits, place = fp.view(_U64), np.arange(len(fp))
+        for a in range(0, len(fp), 256):
+            own = slice(a, a + 256)
+            ok = root[own, None] != root[None, :]
+            ok &= block[own, None] < block[None, :] if i[0] != j[0] else place[own, None] < place[None, :]
+            ok &= np.bitwise_count(bits[own, None] ^ bits[None, :]) <= widths
+            ok &= np.minimum(count[own, None], count[None, :]) >= similarity * np.maximum(count[own, None], count[None, :])
+            x, y = np.nonzero(ok)
+            x, y = (fp[x + a], fp[y]) if len(x) else (none, none)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    return work
+
+
+def _other_pairs(buckets: DataFrame, joined: DataFrame, *, similarity: float, block: int) -> DataFrame:
+    """Candidates (a, b) of all buckets (kind, sample, fp, n), but for pairs that `joined` (links) joins."""
+    # Of two texts one was the other's centre.
+    by = ["kind", "sample"]
+    sizes = buckets.groupBy(*by).agg(F.count("*").alias("size")).where("size > 2")
+    roots = store.keep(components(joined), "roots")
+    rows = buckets.hint("merge").join(sizes, by).join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(*by, "size", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    rows = store.keep(rows, "rooted")
+    mixed = rows.groupBy(*by).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*by)
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    rows = rows.hint("merge").join(mixed, by).select(*by, "fp", "n", "root", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keys = [*by, "i", "j"]
+    rows = rows.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "root")
+    n = store.partitions(buckets.sparkSession, buckets, 2 * SEGMENTS)
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_others(similarity), "a long, b long").distinct()
+
+
+def similar_links(known: DataFrame, rows: DataFrame, near: DataFrame, *, size: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) that join all fingerprints whose texts share a sample, or are joined by `near`, and have the similarity.
 
     `known` has (fp, least, n, samples), a row per fingerprint; `rows` the texts by doc_id, `least` among them."""
     buckets = store.keep(known.select(F.explode(F.array_distinct("samples")).alias("sample"), "fp", "n"), "samples")
@@ -337,6 +395,19 @@ def similar_links(known: DataFrame, rows: DataFrame, near: DataFrame, *, size: i
     pairs = held.where(close).select(F.greatest("fp", "c.fp").alias("a"), F.least("fp", "c.fp").alias("b"))
     near = near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = store.keep(pairs.unionByName(near).distinct(), "pairs")
+    found = _similar(pairs, known, rows, size=size, similarity=similarity)
+    # The rest, exactly: every pair of a bucket, or of what `near` joins, that was not compared and is not joined yet.
+    groups = buckets.select(F.lit(0).alias("kind"), "sample", "fp", "n")
+    if not near.isEmpty():
+        forest = components(near).join(known.select("fp", "n"), F.col("node") == F.col("fp"))
+        groups = groups.unionByName(forest.select(F.lit(1).alias("kind"), F.col("root").alias("sample"), "fp", "n"))
+    others = _other_pairs(groups, found, similarity=similarity, block=bucket)
+    others = store.keep(others.join(pairs, ["a", "b"], "left_anti"), "others")
+    return found if others.isEmpty() else found.unionByName(_similar(others, known, rows, size=size, similarity=similarity))
+
+
+def _similar(pairs: DataFrame, known: DataFrame, rows: DataFrame, *, size: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have the similarity."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(known.select("fp", "least"), "fp").select(F.col("fp").alias("node"), "least")
     nodes = store.keep(nodes, "nodes")
     texts = rows.hint("merge").join(nodes, rows.doc_id == nodes.least).select("text", "node")
@@ -351,8 +422,8 @@ def similar_texts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     """Like near_duplicates, but texts are linked if their sets of shingles have a Jaccard similarity of `similarity`.
 
     Candidates come by pigeonring, between fingerprints that differ in at most `distance` bits, and by samples (see
-    above), which can miss: two similar texts are joined unless no sample of theirs is equal, or they share none with a
-    text that is similar to both.  All candidates are compared by shingles.  Equal fingerprints count as equal texts.
+    above), which can miss: two similar texts are joined unless no sample of theirs is equal.  All candidates are compared
+    by shingles, but for those that others have joined already.  Equal fingerprints count as equal texts.
     ids must tell texts apart.
     """
     store.prepare(docs.sparkSession)
@@ -360,7 +431,7 @@ def similar_texts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     fps = store.keep(rows.mapInArrow(_sketches(size), "doc_id long, fp long, n long, samples array<long>"), "sketches")
     known = store.keep(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "samples")).alias("x")).select("fp", F.col("x.doc_id").alias("least"), "x.n", "x.samples"), "distinct")
     near = links(known.select("fp"), distance=distance, bucket=bucket)
-    found = similar_links(known, rows, near, size=size, similarity=similarity)
+    found = similar_links(known, rows, near, size=size, similarity=similarity, bucket=bucket)
     return _grouped(fps.select("doc_id", "fp"), known.select("fp", "least"), found)
 
 
