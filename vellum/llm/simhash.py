@@ -17,8 +17,9 @@ fingerprints of samples: of a text's shingles those in one of BANDS bands of the
 which similar texts share in some band or other.  Texts with an equal sample are candidates, by the distance of the
 whole texts' fingerprints and then by the Jaccard similarity of their shingles.  First each is held against CENTRES
 texts of its bucket (those with the least hash), which joins large groups of near copies without their pairs.  Then all
-other pairs of a bucket follow, but for those that are joined by then: in blocks of BUCKET texts, each with each.  The
-same is done for what pigeonring links, as a forest that holds by distance need not hold by similarity.
+other pairs of a bucket follow, but for those that are joined by then: in blocks of at most BUCKET texts, whose tasks
+compare the shingles themselves and return a forest of links, never pairs.  The same is done for what pigeonring links,
+as a forest that holds by distance need not hold by similarity.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ BANDS = 8
 SAMPLE = 3
 #: Texts of a bucket that all others are held against first.
 CENTRES = 3
+#: Bytes of a row that is dealt out to be held against others, besides its shingles: four ints, four longs, a length.
+_DEALT_BYTES = 56
 
 _U64 = np.uint64
 
@@ -325,58 +328,95 @@ def widest(similarity: float) -> int:
 
 
 def _others(similarity: float):
-    """From rows in order of (kind, sample, i, j): the pairs of a bucket's blocks i and j whose roots differ and whose
-    fingerprints and numbers of shingles let them be similar."""
-    widths, none = widest(similarity), np.zeros(0, np.int64)
+    """From rows in order of (kind, sample, i, j): links that join the similar pairs of a bucket's blocks i and j whose
+    roots differ.  A link makes one of two roots, so a block gives fewer links than it has texts, however many pairs."""
+    widths = widest(similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
             if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            n = len(cols[0])
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            n = batch.num_rows
+            if not n:
+                continue
             new = np.ones(n, bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
+            new[1:] = np.any([x[1:] != x[:-1] for x in (c.to_numpy() for c in batch.columns[:4])], axis=0)
             begin = np.flatnonzero(new)
             # The last group may go on in the next batch.
-            rest = [c[begin[-1] :] for c in cols] if n else None
-            for x, y in zip(begin, begin[1:], strict=False):
-                yield from pairs([c[x:y] for c in cols])
+            rest = batch.slice(begin[-1])
+            yield joined([batch.slice(x, y - x) for x, y in zip(begin, begin[1:], strict=False)])
         if rest is not None:
-            yield from pairs(rest)
-
-    def pairs(cols) -> Iterator[pa.RecordBatch]:
-        _, _, i, j, block, fp, count, root = cols
-        bits, place = fp.view(_U64), np.arange(len(fp))
-        for a in range(0, len(fp), 256):
-            own = slice(a, a + 256)
-            ok = root[own, None] != root[None, :]
-            ok &= block[own, None] < block[None, :] if i[0] != j[0] else place[own, None] < place[None, :]
-            ok &= np.bitwise_count(bits[own, None] ^ bits[None, :]) <= widths
-            ok &= np.minimum(count[own, None], count[None, :]) >= similarity * np.maximum(count[own, None], count[None, :])
-            x, y = np.nonzero(ok)
-            x, y = (fp[x + a], fp[y]) if len(x) else (none, none)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+            yield joined([rest])
+
+    def joined(groups: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = [x for g in groups for x in links(g)]
+        x, y = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found, strict=True)) if found else 2 * [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    def links(group: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        _, _, i, j, block, fp, root = (c.to_numpy() for c in group.columns[:7])
+        sets = group.column(7)
+        count, bits, root = sets.value_lengths().to_numpy().astype(np.int64), fp.view(_U64), root.copy()
+        first = np.cumsum(count) - count
+        kinds, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        mark = np.zeros(len(kinds), bool)
+        for p in range(len(fp) - 1):
+            ok = root[p + 1 :] != root[p]
+            if i[0] != j[0]:
+                ok &= block[p + 1 :] != block[p]
+            ok &= np.bitwise_count(bits[p + 1 :] ^ bits[p]) <= widths
+            ok &= np.minimum(count[p + 1 :], count[p]) >= similarity * np.maximum(count[p + 1 :], count[p])
+            q = np.flatnonzero(ok) + p + 1
+            if not len(q):
+                continue
+            own, end = ids[first[p] : first[p] + count[p]], np.cumsum(count[q])
+            mark[own] = True
+            common = np.add.reduceat(mark[ids[np.arange(end[-1]) + np.repeat(first[q] - end + count[q], count[q])]], end - count[q], dtype=np.int64)
+            mark[own] = False
+            q = q[common >= similarity * (count[p] + count[q] - common)]
+            if len(q):
+                q = q[np.unique(root[q], return_index=True)[1]]
+                root[np.isin(root, root[q])] = root[p]
+                yield np.full(len(q), fp[p]), fp[q]
 
     return work
 
 
-def _other_pairs(buckets: DataFrame, joined: DataFrame, *, similarity: float, block: int) -> DataFrame:
-    """Candidates (a, b) of all buckets (kind, sample, fp, n), but for pairs that `joined` (links) joins."""
+def _other_links(buckets: DataFrame, joined: DataFrame, known: DataFrame, texts: DataFrame, *, size: int, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) that join the similar texts of all buckets (kind, sample, fp, n) which `joined` (links) does not join.
+
+    A bucket's texts of its most frequent root need not be compared with each other: only the rest, the strays, with all.
+    Strays and the others are dealt out in blocks, and each block of strays meets all blocks."""
     # Of two texts one was the other's centre.
     by = ["kind", "sample"]
-    sizes = buckets.groupBy(*by).agg(F.count("*").alias("size")).where("size > 2")
+    sizes = buckets.groupBy(*by).agg(F.count("*").alias("size")).where("size > 2").drop("size")
     roots = store.keep(components(joined), "roots")
-    rows = buckets.hint("merge").join(sizes, by).join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(*by, "size", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    rows = store.keep(rows, "rooted")
-    mixed = rows.groupBy(*by).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*by)
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    rows = rows.hint("merge").join(mixed, by).select(*by, "fp", "n", "root", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = buckets.hint("merge").join(sizes, by).join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(*by, "fp", "n", F.coalesce("root", "fp").alias("root"))
+    # A text without shingles is like no other.
+    rows = store.keep(rows.where("n > 0"), "rooted")
+    of_root = rows.groupBy(*by, "root").agg(F.count("*").alias("size"), F.sum(8 * F.col("n") + _DEALT_BYTES).alias("bytes"))
+    most = F.max(F.struct("size", "root", "bytes"))
+    mixed = of_root.groupBy(*by).agg(most.alias("most"), F.sum("size").alias("size"), F.sum("bytes").alias("bytes")).where("size > most.size")
+
+    def blocks(size, bytes_):
+        return F.ceil(F.greatest(size / F.lit(block), bytes_ / F.lit(store.BATCH_BYTES))).cast("int")
+
+    small = (F.col("size") <= block) & (F.col("bytes") <= store.BATCH_BYTES)
+    strays = F.col("bytes") - F.col("most.bytes")
+    k = blocks(F.col("size") - F.col("most.size"), strays)
+    m = F.when(small, 0).otherwise(blocks(F.col("most.size"), F.col("most.bytes")))
+    mixed = store.keep(mixed.select(*by, F.col("most.root").alias("main"), k.alias("k"), m.alias("m"), (strays * (k + m) + F.col("most.bytes") * k).alias("dealt")), "mixed")
+    main = (F.col("root") == F.col("main")) & (F.col("m") > 0)
+    own = F.when(main, F.col("k") + F.pmod(F.xxhash64("fp"), F.greatest("m", F.lit(1)))).otherwise(F.pmod(F.xxhash64("fp"), F.col("k"))).cast("int")
+    rows = rows.hint("merge").join(mixed.drop("dealt"), by).select(*by, "fp", "root", own.alias("block"), F.when(main, F.col("k")).otherwise(F.col("k") + F.col("m")).alias("others"))
+    rows = store.keep(rows, "strays")
+    sets = _shingle_sets(rows.select("fp").distinct(), known, texts, size=size)
+    rows = rows.hint("merge").join(sets, F.col("fp") == F.col("node")).select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
     keys = [*by, "i", "j"]
-    rows = rows.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "root")
-    n = store.partitions(buckets.sparkSession, buckets, 2 * SEGMENTS)
+    rows = rows.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root", "shingles")
+    # Counted: Spark takes a join for the product of its sides, which gave a task to every few rows.
+    n = store.partitions_of(buckets.sparkSession, mixed.agg(F.sum("dealt")).first()[0] or 0)
     return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_others(similarity), "a long, b long").distinct()
 
 
@@ -396,23 +436,26 @@ def similar_links(known: DataFrame, rows: DataFrame, near: DataFrame, *, size: i
     near = near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = store.keep(pairs.unionByName(near).distinct(), "pairs")
     found = _similar(pairs, known, rows, size=size, similarity=similarity)
-    # The rest, exactly: every pair of a bucket, or of what `near` joins, that was not compared and is not joined yet.
+    # The rest, exactly: every pair of a bucket, or of what `near` joins, that is not joined yet.
     groups = buckets.select(F.lit(0).alias("kind"), "sample", "fp", "n")
     if not near.isEmpty():
         forest = components(near).join(known.select("fp", "n"), F.col("node") == F.col("fp"))
         groups = groups.unionByName(forest.select(F.lit(1).alias("kind"), F.col("root").alias("sample"), "fp", "n"))
-    others = _other_pairs(groups, found, similarity=similarity, block=bucket)
-    others = store.keep(others.join(pairs, ["a", "b"], "left_anti"), "others")
-    return found if others.isEmpty() else found.unionByName(_similar(others, known, rows, size=size, similarity=similarity))
+    others = store.keep(_other_links(groups, found, known, rows, size=size, similarity=similarity, block=bucket), "others")
+    return found.unionByName(others)
 
 
-def _similar(pairs: DataFrame, known: DataFrame, rows: DataFrame, *, size: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts have the similarity."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(known.select("fp", "least"), "fp").select(F.col("fp").alias("node"), "least")
-    nodes = store.keep(nodes, "nodes")
+def _shingle_sets(nodes: DataFrame, known: DataFrame, rows: DataFrame, *, size: int) -> DataFrame:
+    """(node, shingles) of fingerprints (column fp)."""
+    nodes = store.keep(nodes.join(known.select("fp", "least"), "fp").select(F.col("fp").alias("node"), "least"), "nodes")
     texts = rows.hint("merge").join(nodes, rows.doc_id == nodes.least).select("text", "node")
     # Equal rows share an id: one set for each node.
-    sets = store.keep(texts.mapInArrow(_sets(size), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return store.keep(texts.mapInArrow(_sets(size), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _similar(pairs: DataFrame, known: DataFrame, rows: DataFrame, *, size: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have the similarity."""
+    sets = _shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), known, rows, size=size)
     both = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").hint("merge").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return store.keep(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
