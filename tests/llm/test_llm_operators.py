@@ -128,6 +128,48 @@ def test_substring_dedup_across_batches(spark, table, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_substring_dedup_hands_on_small_batches():
+    # Whole, the windows and anchors of this text make batches of 10 and 1 MB.
+    text = prose(400_000, 11)
+    rows = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([5])], ["text", "key"])
+
+    class Full:
+        value = np.full(1 << 10, -1, np.int64).view(np.uint64)
+
+    of = (15, substring_dedup.PERIOD, substring_dedup.COVER)
+    anchors = list(substring_dedup._task_anchors(*of)(iter([rows])))
+    windows = list(substring_dedup._candidates(Full, 16, 35, *of)(iter([rows])))
+    assert max(b.num_rows for b in anchors + windows) <= substring_dedup.OUT_ROWS
+    assert max(b.nbytes for b in anchors + windows) < 2_000_000
+    places = sorted(s >> 32 for b in windows for s in b["span"].to_pylist())
+    assert places == list(range(400_000 - 34))
+    assert sum(b.num_rows for b in anchors) == sum(p % 21 in substring_dedup.COVER for p in range(400_000 - 14))
+
+
+def test_substring_dedup_repeated_anchors():
+    # Runs of equal hashes within, across and over whole batches; those of one row are left out.
+    h = [-9, -9, -9, -4, 0, 0, 1, 2, 2, 2, 2, 2, 7, 8, 8]
+    for n in (1, 2, 3, 4, 20):
+        parts = [h[a : a + n] for a in range(0, len(h), n)] + [[]]
+        got = substring_dedup._repeated(pa.RecordBatch.from_arrays([pa.array(p, pa.int64())], ["h"]) for p in parts)
+        assert [x for b in got for x in b["h"].to_pylist()] == [-9, 0, 2, 8]
+    of = (15, substring_dedup.PERIOD, substring_dedup.COVER)
+    rows = pa.RecordBatch.from_arrays([pa.array([prose(80, 12)] * 3 + [prose(60, 13)])], ["text"])
+    found = [x for b in substring_dedup._task_anchors(*of)(iter([rows])) for x in b["h"].to_pylist()]
+    assert sorted(found.count(x) for x in set(found)) == [1] * 12 + [2] * 17
+
+
+def test_substring_dedup_keeps_anchors_in_few_files(table, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(store, "keep", lambda df, name, keep=store.keep: kept.setdefault(name, (df, keep(df, name)))[1])
+    substring_dedup.remove_repeats(table)
+    plan, stored = kept["anchors"][0]._jdf.queryExecution().executedPlan().toString(), kept["anchors"][1]
+    assert "Aggregate" not in plan
+    assert plan.index("REBALANCE_PARTITIONS_BY_COL") < plan.index("MapInArrow")
+    assert len(stored.inputFiles()) == 1 < store.partitions(table.sparkSession, table)
+    assert stored.count() == stored.distinct().count() > 0
+
+
 # -- simhash ------------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ inside a repeated window goes.  How the repeated windows are found:
 
 1. A difference cover modulo `period` holds two places for every shift: whatever the offset between two equal
    windows, some pair of covered places is aligned in both.  So only the `window - period + 1` words at covered
-   places are hashed, about a quarter of all places, and an anchor that occurs twice is kept.
+   places are hashed, about a quarter of all places, and an anchor that occurs twice is kept: equal ones stream past
+   in sorted order.
 2. Anchors extend to the windows around them: a window without a repeated anchor cannot be repeated and is never
    looked at again.  While the kept anchors are few, they reach the executors as a bitmap of bounded size; a false hit
    there only adds a candidate.  Beyond MAX_ANCHORS the covered places of all texts meet the kept anchors in a join on
@@ -39,6 +40,8 @@ COVER = (0, 1, 4, 14, 16)
 MAX_ANCHORS = 1 << 24
 #: Windows that a task holds before it merges equal ones and hands them on.
 MERGE_ROWS = 2_000_000
+#: Rows handed on at once: the JVM holds a whole batch outside its heap, in a buffer of up to twice its bytes.
+OUT_ROWS = 1 << 16
 
 _U64 = np.uint64
 
@@ -68,10 +71,18 @@ def _anchors(words: K.Words, h: np.ndarray, size: int, period: int, cover: tuple
     return at, g[at]
 
 
-def _anchor_counts(size: int, period: int, cover: tuple[int, ...]):
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, OUT_ROWS):
+        yield batch.slice(a, OUT_ROWS)
+
+
+def _task_anchors(size: int, period: int, cover: tuple[int, ...]):
+    """The anchors of a task: once, or twice those that it has more often."""
+
     def merged(found: list[np.ndarray]) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(h, np.minimum(n, 2)).view(np.int64))], ["h"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -80,14 +91,26 @@ def _anchor_counts(size: int, period: int, cover: tuple[int, ...]):
                 words = K.Words(buf, off, K.NOT_BLANK)
                 found.append(_anchors(words, words.hashes(), size, period, cover)[1])
             if sum(map(len, found)) >= MERGE_ROWS:
-                yield merged(found)
-                found = []
+                yield from _slices(merged(found))
         if found:
-            yield merged(found)
+            yield from _slices(merged(found))
 
     return count
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of h: each h that more than one row has, once."""
+    last = told = np.zeros(0, np.int64)
+    for batch in batches:
+        h = np.concatenate([last, batch.column(0).to_numpy()])
+        again = np.unique(h[1:][h[1:] == h[:-1]])
+        if len(again):
+            fresh = again[1:] if len(told) and told[0] == again[0] else again
+            told = again[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(fresh)], ["h"])
+        last = h[-1:].copy()
+
+
 def _bitmap(repeated: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """Two bits for each of n repeated anchors, in a bitmap of 16 to 32 bits an anchor."""
     bits = max(16, int(16 * max(n, 1) - 1).bit_length())
@@ -169,8 +192,11 @@ class _Windows:
 
     def hand_on(self, least: int) -> Iterator[pa.RecordBatch]:
         if self.held and sum(len(x[0]) for x in self.held) >= least:
-            yield _merged(*map(np.concatenate, zip(*self.held, strict=True)))
+            held = [np.concatenate(part) for part in zip(*self.held, strict=True)]
             self.held = []
+            merged = _merged(*held)
+            del held
+            yield from _slices(merged)
 
 
 _CANDIDATES = "h long, key long, span long, kind byte"
@@ -329,9 +355,12 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     store.prepare(spark)
     size = window - period + 1
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id")).withColumn("key", row_key("doc_id", "text"))
-    anchors = rows.select("text").mapInArrow(_anchor_counts(size, period, cover), "h long, n long")
-    repeated = store.keep(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
     n = store.partitions(spark, docs)
+    # Tasks have merged their own; a hash table of what is left, nearly all of it different, would save nothing.
+    anchors = rows.select("text").mapInArrow(_task_anchors(size, period, cover), "h long")
+    repeated = anchors.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long")
+    # Few rows remain: few files, whatever the number of tasks.  A local file system starts a process for each file.
+    repeated = store.keep(repeated.hint("rebalance", "h"), "anchors")
     known = repeated.count()
     if known <= max_anchors:
         bitmap, bits = _bitmap(repeated, known)
