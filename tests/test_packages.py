@@ -77,3 +77,32 @@ def test_what_is_remembered_is_not_handed_out():
     first["styles"][0]["name"] = "changed"
     first["paragraphs"][0]["runs"][0]["bold"] = True
     assert ooxml.read_docx(made)["styles"][0]["name"] == "Normal" and ooxml.read_docx(made)["paragraphs"][0]["runs"][0]["bold"] is None
+
+
+def _deck(n: int) -> bytes:
+    return ooxml.write_pptx({"paragraphs": [{"index": i, "text": f"t{i}"} for i in range(n)], "document_order": [{"type": "paragraph", "index": i} for i in range(n)]})
+
+
+def test_small_slides_are_parsed_at_one_go(monkeypatch, no_zipfile):
+    """A parser for each slide took most of the time of reading a deck."""
+    made, seen, parse = _deck(40), [], ooxml.ET.fromstring
+    monkeypatch.setattr(ooxml.ET, "fromstring", lambda x: seen.append(len(x)) or parse(x))
+    assert [p["text"] for p in ooxml.read_pptx(made)["paragraphs"]] == [f"t{i}" for i in range(40)]
+    assert len(seen) <= 3
+
+
+@pytest.mark.parametrize("body", [b"", b"<a>", b"</x1><x1>", b"<a/></x1><x1><b/>", b"<a/><b/>", b"text", b"<a/>text", b"&#32;<a/>", b"<!DOCTYPE a><a/>", b"<a/><!--"])
+def test_a_slide_that_is_not_plain_touches_no_other(monkeypatch, body):
+    """As if every slide were parsed alone: here by a package that never knows its parts' sizes."""
+    head = b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+    made = copy(_deck(3), slide2=head + body)
+    got = ooxml.read_pptx(made)
+    monkeypatch.setattr(ooxml._Package, "small", lambda *_: False)
+    assert got == ooxml.read_pptx(made)
+    assert [p["text"] for p in got["paragraphs"]] == ["t0", "t2"] and len(got["slides"]) == 3
+
+
+def test_large_slides_are_read_one_by_one(monkeypatch):
+    made, seen, parse = ooxml.write_pptx({"paragraphs": [{"index": i, "text": f"{i} " * 20_000} for i in range(3)]}), [], ooxml.ET.fromstring
+    monkeypatch.setattr(ooxml.ET, "fromstring", lambda x: seen.append(len(x)) or parse(x))
+    assert [len(p["text"]) for p in ooxml.read_pptx(made)["paragraphs"]] == [40_000] * 3 and sum(x > 40_000 for x in seen) == 3 and max(seen) < 80_000
